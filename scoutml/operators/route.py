@@ -173,8 +173,8 @@ def _resolve(name: Column, keys: list[str]) -> Column:
     """Exact key, else the first key (registry order) with ``key in n or n in key``."""
     n = normalize(name)
     arr = _lits(keys)
-    exact = F.element_at(F.filter(arr, lambda k: k == n), 1)
-    partial = F.element_at(F.filter(arr, lambda k: (F.instr(n, k) > 0) | (F.instr(k, n) > 0)), 1)
+    exact = F.try_element_at(F.filter(arr, lambda k: k == n), F.lit(1))
+    partial = F.try_element_at(F.filter(arr, lambda k: (F.instr(n, k) > 0) | (F.instr(k, n) > 0)), F.lit(1))
     return F.when(n == "", F.lit(None).cast("string")).otherwise(F.coalesce(exact, partial))
 
 
@@ -190,7 +190,7 @@ def resolve_algo(name: Column) -> Column:
     """P9 for algorithms: the runner key, or null when nothing matches."""
     key = _resolve(name, [k for k, _ in ALGO_REGISTRY])
     runners = F.create_map(*[x for k, r in ALGO_REGISTRY for x in (F.lit(k), F.lit(r))])
-    return F.element_at(runners, key)
+    return F.try_element_at(runners, key)
 
 
 def compatible(resolved: Column, task: Column) -> Column:
