@@ -125,12 +125,13 @@ class AdaBoost(Learner):
         cls = self.task == "classification"
         k = max(self.n_classes, 2)
         base = train.select(x.alias("x"), F.col(LABEL).alias("y"))
-        bin_cols = [
-            F.when(F.lit(len(bins[j]) == 0), F.lit(0)).otherwise(
-                F.aggregate(lit_array(bins[j]) if bins[j] else F.array(F.lit(0.0)), F.lit(0), lambda a, b, j=j: a + (F.col("x")[j] > b).cast("int"))
-            )
-            for j in range(d)
-        ]
+        def bin_of(j: int) -> Column:
+            if not bins[j]:
+                return F.lit(0)
+            xj = F.col("x")[j]
+            return F.aggregate(lit_array(bins[j]), F.lit(0), lambda a, b: a + (xj > b).cast("int"))
+
+        bin_cols = [bin_of(j) for j in range(d)]
         base = cut(base.withColumn("b", F.array(*bin_cols)).withColumn("w", F.lit(1.0)))
         stumps: list[tuple] = []
         cur = base
@@ -146,11 +147,11 @@ class AdaBoost(Learner):
                 best = self._best_reg_split(agg, bins)
             if best is None:
                 break
-            feat, thr, left, right = best
+            feat, thr, left, right = best[:4]
             pred = _stump_expr(F.col("x"), feat, thr, left, right)
             if cls:
                 miss = (pred != F.col("y")).cast("double")
-                err = cur.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()["e"]
+                err = best[4]  # from the same grouped weights: no extra pass
                 if err <= 0:
                     stumps.append((feat, thr, left, right, 1.0))
                     break
@@ -160,7 +161,11 @@ class AdaBoost(Learner):
                     break
                 a = rate * (math.log((1 - err) / err) + math.log(k - 1))
                 stumps.append((feat, thr, left, right, a))
-                nxt = cur.withColumn("w", F.col("w") * F.exp(F.lit(a) * miss))
+                # new total (relative to 1) = (1 - err) + err * e^a: normalise without a pass
+                cur = cur.withColumn("w", F.col("w") * F.exp(F.lit(a) * miss) / F.lit((1 - err) + err * math.exp(a)))
+                if (t + 1) % 25 == 0:
+                    cur = cut(cur)
+                continue
             else:
                 ae = F.abs(pred - F.col("y"))
                 mx = cur.agg(F.max(ae)).first()[0] or 0.0
@@ -206,11 +211,13 @@ class AdaBoost(Learner):
                 imp = wl * (1 - ((lft / wl) ** 2).sum()) + wr * (1 - ((rgt / wr) ** 2).sum())
                 if best_imp is None or imp < best_imp - 1e-12:
                     best_imp = imp
-                    best = (j, float(bins[j][b]), float(np.argmax(lft)), float(np.argmax(rgt)))
+                    cl, cr = int(np.argmax(lft)), int(np.argmax(rgt))
+                    err = ((wl - lft[cl]) + (wr - rgt[cr])) / (wl + wr)
+                    best = (j, float(bins[j][b]), float(cl), float(cr), float(err))
         if best is None and by_feat:
             tot = sum(v for per in by_feat[min(by_feat)].values() for v in [per])
-            c = float(np.argmax(tot))
-            best = (0, float("inf"), c, c)
+            c = int(np.argmax(tot))
+            best = (0, float("inf"), float(c), float(c), float(1 - tot[c] / tot.sum()))
         return best
 
     @staticmethod

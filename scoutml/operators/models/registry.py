@@ -93,6 +93,19 @@ def sample_params(key: str, task: str, n_trials: int, seed: int = 42) -> list[di
     return out
 
 
+def lower_params(key: str, task: str) -> dict:
+    """A fixed point of the space: every range at its lower end, first choice of
+    every category (the cheapest member of the family)."""
+    out = {}
+    for name, spec in SPACES.get(key, {}).items():
+        if isinstance(spec, dict):
+            spec = spec.get(task)
+        if spec is None:
+            continue
+        out[name] = spec[1][0] if spec[0] == "cat" else spec[1]
+    return out
+
+
 def build(key: str, task: str, params: dict, n_classes: int = 2, seed: int = 42) -> Learner | None:
     """Learner for a registry key, or None when the model does not serve the task."""
     cls = task == "classification"
