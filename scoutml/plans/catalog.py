@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_prepare", "q_route", "q_models", "q_cluster"]
+_MODULES = ["q_prepare", "q_route", "q_models", "q_cluster", "q_history"]
 
 
 def _load():
