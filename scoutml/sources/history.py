@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutml.functions.scalar import json_or_default
+from scoutml.operators.ranking import with_rank
 
 COLUMNS = ["id", "timestamp", "user_prompt", "mode", "task", "selected_models", "results", "insight",
            "dataset_shape", "best_model", "best_score"]
@@ -73,11 +74,10 @@ def append(spark: SparkSession, path: str, experiments: DataFrame, order_cols: l
     insight, dataset_shape."""
     start = read(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     stamp = (now or _dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
-    # one small window per append batch; batches are per-run, not per-data-row
-    w = Window.orderBy(*order_cols)
+    # batch positions from the skew-safe ranking (no single-partition window)
     best_name, best_score = best_from_results(F.col("results"), F.col("mode"))
-    rows = experiments.select(
-        (F.lit(start) + F.row_number().over(w)).cast("long").alias("id"), F.lit(stamp).alias("timestamp"),
+    rows = with_rank(experiments, order_cols, name="_pos").select(
+        (F.lit(start) + F.col("_pos") + 1).cast("long").alias("id"), F.lit(stamp).alias("timestamp"),
         "user_prompt", "mode", F.when(F.col("mode") == "unsupervised", F.lit("unsupervised")).otherwise(F.col("task")).alias("task"),
         "selected_models", "results", "insight", "dataset_shape", best_name.alias("best_model"), best_score.alias("best_score"))
     if not with_mode:

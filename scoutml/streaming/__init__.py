@@ -1,0 +1 @@
+"""Structured Streaming: the reference has no streaming operators, so nothing is built here."""
