@@ -114,7 +114,7 @@ def dbscan(spark, sf):
 
 
 def kmeans(spark, sf):
-    """K1: k = 10, k-means||, 5 restarts; labels and the exact silhouette."""
+    """K1: k = 10, k-means||, 5 restarts (lowest cost kept); labels per row."""
     lab = CL.kmeans(_points(spark, sf).select("id", "x"), 10, n_init=5)
     return lab.select(F.col("id").alias("row_id"), "cluster")
 
@@ -253,3 +253,34 @@ SELECT id AS row_id, CAST(lof > q AS INTEGER) AS is_anomaly FROM lof, cutv""",
     "dbscan_core": f"""SELECT a.id AS row_id, count(*) AS n_neighbors, count(*) >= {MIN_SAMPLES} AS is_core
 FROM {_E} a JOIN {_E} b ON list_distance(a.x, b.x) <= {EPS} GROUP BY a.id""",
 }
+
+
+def _metrics_sql(lab: str) -> str:
+    """silhouette / davies_bouldin / calinski_harabasz (each rounded to 4) of one labeling; nulls below two clusters."""
+    v = f"(SELECT id, x, c FROM (SELECT id, x, {lab} AS c FROM {_E}) WHERE c <> -1)"
+    return f"""(WITH v AS {v},
+pr AS (SELECT a.id, a.c AS own, b.c, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id, a.c, b.c),
+sz AS (SELECT c, count(*) AS n FROM v GROUP BY c),
+r AS (SELECT v.id, max(CASE WHEN pr.c = v.c THEN pr.s / pr.n END) AS a, min(CASE WHEN pr.c <> v.c THEN pr.s / pr.n END) AS b,
+             any_value(sz.n) AS n_own FROM v LEFT JOIN pr ON pr.id = v.id JOIN sz ON sz.c = v.c GROUP BY v.id),
+sil AS (SELECT avg(CASE WHEN n_own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS sil FROM r),
+cen AS (SELECT c, list(m ORDER BY j) AS cx FROM (SELECT c, j, avg(val) AS m FROM (
+          SELECT c, unnest(x) AS val, generate_subscripts(x, 1) AS j FROM v) GROUP BY c, j) GROUP BY c),
+sc AS (SELECT v.c, avg(list_distance(v.x, cen.cx)) AS s FROM v JOIN cen USING (c) GROUP BY v.c),
+db AS (SELECT avg(r) AS db FROM (SELECT a.c, max((sa.s + sb.s) / list_distance(a.cx, b.cx)) AS r
+        FROM cen a JOIN cen b ON a.c <> b.c JOIN sc sa ON sa.c = a.c JOIN sc sb ON sb.c = b.c GROUP BY a.c)),
+g AS (SELECT list(m ORDER BY j) AS g FROM (SELECT j, avg(val) AS m FROM (SELECT unnest(x) AS val, generate_subscripts(x, 1) AS j FROM v) GROUP BY j)),
+w AS (SELECT sum(list_distance(v.x, cen.cx)^2) AS w, count(*) AS n FROM v JOIN cen USING (c)),
+bt AS (SELECT sum(sz.n * list_distance(cen.cx, g.g)^2) AS b, count(*) AS k FROM cen, g, sz WHERE sz.c = cen.c),
+ch AS (SELECT CASE WHEN w = 0 THEN 1.0 ELSE (b / (k - 1)) / (w / (n - k)) END AS ch FROM w, bt),
+ok AS (SELECT (SELECT count(*) FROM sz) >= 2 AND (SELECT count(*) FROM v) >= 2 AS ok)
+SELECT CASE WHEN ok THEN round(sil, 4) END AS silhouette, CASE WHEN ok THEN round(db, 4) END AS davies_bouldin,
+       CASE WHEN ok THEN round(ch, 4) END AS calinski_harabasz FROM sil, db, ch, ok)"""
+
+
+_GUARD = " UNION ALL ".join(f"SELECT '{n}' AS labeling, * FROM {_metrics_sql(e)}" for n, e in _LABELINGS.items())
+
+ORACLE["cluster_score_guard"] = f"""SELECT labeling, silhouette, davies_bouldin, round(calinski_harabasz, 2) AS calinski_harabasz
+FROM ({_GUARD})"""
+ORACLE["composite_score"] = f"""SELECT labeling, round(0.5 * coalesce(silhouette, -1.0) - 0.3 * coalesce(davies_bouldin, 10.0)
+    + 0.2 * coalesce(calinski_harabasz, 0.0), 3) AS composite FROM ({_GUARD})"""

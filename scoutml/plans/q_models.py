@@ -368,3 +368,14 @@ SELECT round(avg(pred), 2) AS mean_prediction, count(*) AS n_rows FROM p""",
     "top3_models": _records_cte() + """SELECT CAST(row_number() OVER (ORDER BY score DESC, submit_order) AS INTEGER) AS position,
         name, round(score, 6) AS score FROM rec QUALIFY position <= 3""",
 }
+
+
+def _split_anomaly_sql() -> str:
+    from scoutml.plans.q_route import _PROMPT_ALGOS
+
+    names = ", ".join(f"'{n}'" for n in LB.ANOMALY_NAMES)
+    return f"SELECT conv_id, turn, algo, lower(algo) IN ({names}) AS is_anomaly FROM ({_PROMPT_ALGOS})"
+
+
+ORACLE["split_anomaly_algos"] = _split_anomaly_sql()
+
