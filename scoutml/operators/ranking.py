@@ -39,6 +39,9 @@ def with_rank(
     Ties in ``order_by`` receive distinct consecutive ranks (like ``row_number``);
     pass a unique key last for a deterministic result.
     """
+    reserved = {"_mid", "_pid", "_pos", "_off", "_first", "_n"}
+    if name in reserved or reserved & set(df.columns):
+        raise ValueError(f"column names {sorted(reserved)} are reserved by with_rank")
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
     keys = [F.col(g) for g in partition_by] + [_sort_key(c) for c in order_by]

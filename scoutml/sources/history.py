@@ -76,8 +76,8 @@ def append(spark: SparkSession, path: str, experiments: DataFrame, order_cols: l
     stamp = (now or _dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
     # batch positions from the skew-safe ranking (no single-partition window)
     best_name, best_score = best_from_results(F.col("results"), F.col("mode"))
-    rows = with_rank(experiments, order_cols, name="_pos").select(
-        (F.lit(start) + F.col("_pos") + 1).cast("long").alias("id"), F.lit(stamp).alias("timestamp"),
+    rows = with_rank(experiments, order_cols, name="batch_pos").select(
+        (F.lit(start) + F.col("batch_pos") + 1).cast("long").alias("id"), F.lit(stamp).alias("timestamp"),
         "user_prompt", "mode", F.when(F.col("mode") == "unsupervised", F.lit("unsupervised")).otherwise(F.col("task")).alias("task"),
         "selected_models", "results", "insight", "dataset_shape", best_name.alias("best_model"), best_score.alias("best_score"))
     if not with_mode:
