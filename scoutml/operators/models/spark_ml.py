@@ -204,8 +204,8 @@ class SVM(Learner):
             tf = lambda df: pe.transform(df).drop(FEATURES).withColumnRenamed("_poly", FEATURES)
         else:
             tf = lambda df: df
-        tr = tf(train)
-        n = train.count()
+        tr = tf(train).cache()
+        n = tr.count()
         svc = C.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100, featuresCol=FEATURES, labelCol=LABEL)
         est = svc if self.n_classes <= 2 else C.OneVsRest(classifier=svc, parallelism=4, featuresCol=FEATURES, labelCol=LABEL)
         model = est.fit(tr)

@@ -1,9 +1,10 @@
 """Feature preparation (T1–T11), all distributed.
 
 * label codes: rank of the value among the sorted distinct values (null -> "nan")
-* median: exact order statistics via the skew-safe ranking, not an in-memory
-  percentile buffer (Spark's ``median`` holds every distinct value of a group in
-  one task; ``Imputer`` is approximate)
+* median: exact order statistics — an approximate bracket, then the skew-safe
+  ranking of the bracket's values only; not an in-memory percentile buffer
+  (Spark's ``median`` holds every distinct value of a group in one task;
+  ``Imputer`` is approximate)
 * scaling: one aggregation pass for means and population deviations
 * interactions: products as expressions, ANOVA / F-regression scores from one
   grouped aggregation
@@ -79,29 +80,73 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None, codes: DataFr
 
 
 # T4 --------------------------------------------------------------------------
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, median)``: mean of the two middle non-null values; all-null -> null.
-
-    The values of all columns are unpivoted and ranked within their column by a
-    range-partitioned sort, so a huge column spreads over many tasks.
-    """
+def _unpivot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = [
         df.select(F.lit(c).alias("column"), q(c).cast("double").alias("v")).where(F.col("v").isNotNull())
         for c in cols
     ]
-    vals = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        vals = vals.unionByName(p)
-    ranked = with_rank(vals, ["v"], ["column"], name="r")
-    sizes = ranked.groupBy("column").agg((F.max("r") + 1).alias("n"))
-    mids = (
-        ranked.join(sizes, "column")
-        .where((F.col("r") == F.floor((F.col("n") - 1) / 2)) | (F.col("r") == F.ceil((F.col("n") - 1) / 2)))
-        .groupBy("column")
-        .agg(F.avg("v").alias("median"))
-    )
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return names.join(mids, "column", "left")
+        out = out.unionByName(p)
+    return out
+
+
+def _pick(ranked: DataFrame, targets: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Mean of the values at the two target ranks of each column."""
+    cond = None
+    for c, (a, b) in targets.items():
+        e = (F.col("column") == c) & F.col("r").isin(a, b)
+        cond = e if cond is None else cond | e
+    got: dict[str, dict[int, float]] = {}
+    for r in ranked.where(cond).collect():  # at most two rows per column
+        got.setdefault(r["column"], {})[r["r"]] = r["v"]
+    return {c: (got[c][a] + got[c][b]) / 2 for c, (a, b) in targets.items()}
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """``(column, median)``: mean of the two middle non-null values; all-null -> null.
+
+    Pass 1: counts and an approximate bracket [lo, hi] around the middle ranks
+    (``percentile_approx``, rank error <= n/accuracy, widened 4x).  Pass 2: the
+    number of values below lo and inside the bracket.  Pass 3: only the bracket's
+    values are ranked (skew-safe range sort) and the middle ones picked.  If a
+    bracket misses the middle (the approximation's guarantee failed) that column
+    falls back to ranking all of its values.  Nothing is buffered per group.
+    """
+    spark = df.sparkSession
+    d = 4.0 / accuracy
+    stats = df.agg(
+        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(q(c).cast("double"), [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias(f"b{i}")
+          for i, c in enumerate(cols)],
+    ).first()
+    brackets = {c: (stats[f"n{i}"], stats[f"b{i}"]) for i, c in enumerate(cols) if stats[f"n{i}"]}
+    med: dict[str, float | None] = {c: None for c in cols}
+    if brackets:
+        below = df.agg(
+            *[F.count_if(q(c).cast("double") < F.lit(b[0])).alias(f"l{i}") for i, (c, (n, b)) in enumerate(brackets.items())],
+            *[F.count_if(q(c).cast("double").between(F.lit(b[0]), F.lit(b[1]))).alias(f"m{i}")
+              for i, (c, (n, b)) in enumerate(brackets.items())],
+        ).first()
+        inside, full, targets = [], [], {}
+        for i, (c, (n, b)) in enumerate(brackets.items()):
+            k1, k2 = (n - 1) // 2, n // 2
+            lo_cnt, mid_cnt = below[f"l{i}"], below[f"m{i}"]
+            if lo_cnt <= k1 and k2 < lo_cnt + mid_cnt:
+                inside.append((c, b))
+                targets[c] = (k1 - lo_cnt, k2 - lo_cnt)
+            else:
+                full.append(c)
+                targets[c] = (k1, k2)
+        parts = []
+        if inside:
+            parts.append(_unpivot(df, [c for c, _ in inside]).where(
+                F.coalesce(*[F.when(F.col("column") == c, F.col("v").between(F.lit(b[0]), F.lit(b[1]))) for c, b in inside])))
+        if full:
+            parts.append(_unpivot(df, full))
+        vals = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        med.update(_pick(with_rank(vals, ["v"], ["column"], name="r"), targets))
+    return spark.createDataFrame([(c, med[c]) for c in cols], "column string, median double")
 
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -138,9 +138,15 @@ def fold_metric(pred: DataFrame, task: str) -> float:
 def cross_validate(prep: Prepared, key: str, params: dict, n_folds: int = 5, parallelism: int = 5) -> list[float]:
     def one(f: int) -> float:
         train, test = fold_split(prep, f)
-        learner = registry.build(key, prep.task, params, max(prep.n_classes, 2))
-        fitted = learner.fit(train)
-        return float(fold_metric(fitted.predict(test), prep.task))
+        # iterative solvers rescan the training fold every round: keep it in memory
+        # while this fold is fitted (lineage stays, so a lost executor recomputes it)
+        train = train.cache()
+        try:
+            learner = registry.build(key, prep.task, params, max(prep.n_classes, 2))
+            fitted = learner.fit(train)
+            return float(fold_metric(fitted.predict(test), prep.task))
+        finally:
+            train.unpersist()
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         return list(pool.map(one, range(n_folds)))
