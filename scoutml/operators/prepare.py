@@ -276,16 +276,32 @@ __all__ = ["k_rule", "k_for_width"]
 
 # T10 / T11 -------------------------------------------------------------------
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sample covariance (d x d) and means from one aggregation pass."""
+    """Sample covariance (d x d) and means from one aggregation pass.
+
+    Narrow tables use pairwise ``covar_samp``; wide ones one ``Summarizer`` sum of
+    the flattened outer product (a single aggregate instead of d(d+1)/2)."""
     d = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(q(cols[i]), q(cols[j])).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = df.agg(*aggs).first()
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    return cov, np.array([row[f"m{i}"] for i in range(d)], dtype=float), int(row["n"])
+    if d <= 8:
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]
+        aggs += [F.covar_samp(q(cols[i]), q(cols[j])).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+        row = df.agg(*aggs).first()
+        cov = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+        return cov, np.array([row[f"m{i}"] for i in range(d)], dtype=float), int(row["n"])
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    x = F.array(*[q(c).cast("double") for c in cols])
+    a = df.select(x.alias("x"))
+    outer = array_to_vector(F.flatten(F.transform("x", lambda u: F.transform("x", lambda v: u * v))))
+    r = a.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("x")).alias("m"),
+              Summarizer.sum(outer).alias("g")).first()
+    n, m = int(r["n"]), np.array(r["m"].toArray())
+    g = np.array(r["g"].toArray()).reshape(d, d)
+    cov = (g - n * np.outer(m, m)) / max(n - 1, 1)
+    return cov, m, n
 
 
 def pca_components(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

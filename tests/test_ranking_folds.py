@@ -98,3 +98,15 @@ def test_anova_and_fregression(spark, rng):
     fr = prepare.f_regression_scores(df, ["x1", "x2"], "t").toPandas().sort_values("position")
     r = np.corrcoef(pdf.x1, pdf.t)[0, 1]
     assert abs(fr["f_score"].iloc[0] - r * r / (1 - r * r) * (n - 2)) < 1e-6 * fr["f_score"].iloc[0]
+
+
+def test_covariance_narrow_and_wide(spark, rng):
+    for d in (3, 12):
+        x = rng.normal(size=(150, d)) @ rng.normal(size=(d, d))
+        cols = [f"c{j}" for j in range(d)]
+        df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
+        cov, mean, n = prepare.covariance_matrix(df, cols)
+        assert n == 150 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x, rowvar=False), atol=1e-8)
+        _, ratios = prepare.pca_components(cov, 2)
+        ev = np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1]
+        assert np.allclose(ratios, ev[:2] / ev.sum())
