@@ -13,7 +13,7 @@ from scoutml.operators import cluster as CL
 from scoutml.operators import cluster_metrics as CM
 from scoutml.plans.fixtures import embedding_vectors
 
-EPS, MIN_SAMPLES, LOF_K, CONTAMINATION = 1.2, 5, 10, 0.1
+EPS, MIN_SAMPLES, LOF_K, CONTAMINATION = 1.15, 4, 10, 0.1
 
 
 def _points(spark, sf) -> DataFrame:
@@ -284,3 +284,17 @@ ORACLE["cluster_score_guard"] = f"""SELECT labeling, silhouette, davies_bouldin,
 FROM ({_GUARD})"""
 ORACLE["composite_score"] = f"""SELECT labeling, round(0.5 * coalesce(silhouette, -1.0) - 0.3 * coalesce(davies_bouldin, 10.0)
     + 0.2 * coalesce(calinski_harabasz, 0.0), 3) AS composite FROM ({_GUARD})"""
+
+
+ORACLE["dbscan"] = f"""WITH RECURSIVE
+pairs AS (SELECT a.id AS lid, b.id AS rid FROM {_E} a JOIN {_E} b ON list_distance(a.x, b.x) <= {EPS}),
+core AS (SELECT lid AS id FROM pairs GROUP BY lid HAVING count(*) >= {MIN_SAMPLES}),
+edges AS (SELECT lid, rid FROM pairs WHERE lid IN (SELECT id FROM core) AND rid IN (SELECT id FROM core)),
+reach(id, r) AS (SELECT id, id FROM core UNION SELECT reach.id, edges.rid FROM reach JOIN edges ON edges.lid = reach.r),
+comp AS (SELECT id, min(r) AS comp FROM reach GROUP BY id),
+num AS (SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT comp FROM comp)),
+core_lab AS (SELECT comp.id, num.cluster FROM comp JOIN num USING (comp)),
+border AS (SELECT p.lid AS id, min(c.cluster) AS cluster FROM pairs p JOIN core_lab c ON c.id = p.rid
+           WHERE p.lid NOT IN (SELECT id FROM core) GROUP BY p.lid),
+lab AS (SELECT * FROM core_lab UNION ALL SELECT * FROM border)
+SELECT e.id AS row_id, CAST(coalesce(lab.cluster, -1) AS INTEGER) AS cluster FROM {_E} e LEFT JOIN lab USING (id)"""

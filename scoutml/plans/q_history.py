@@ -168,3 +168,27 @@ def _oracle() -> dict:
 
 
 ORACLE = _oracle()
+
+
+def _report_sql() -> str:
+    base = _oracle_base()
+    pad = "CASE WHEN length({x}) < 25 THEN rpad({x}, 25, ' ') ELSE {x} END"
+    return base + f""", shape AS (SELECT '[' || CAST(count(*) AS VARCHAR) || ', 4]' AS s FROM customer),
+hdr AS (
+  SELECT h.id, v.n AS line_no, CASE v.n
+      WHEN 0 THEN repeat('=', 60) WHEN 1 THEN 'EXPERIMENT REPORT' WHEN 2 THEN 'Generated : ' || h.timestamp
+      WHEN 3 THEN repeat('=', 60) WHEN 4 THEN 'User Prompt   : ' || p.text WHEN 5 THEN 'Mode          : ' || upper(h.mode)
+      WHEN 6 THEN 'Dataset Shape : ' || shape.s
+      ELSE CASE WHEN h.mode = 'unsupervised' THEN 'CLUSTERING RESULTS:' ELSE 'MODEL RESULTS:' END END AS line
+  FROM h JOIN p USING (id), shape, (SELECT unnest(range(8)) AS n) v),
+body AS (
+  SELECT sel.id, 8 + sel.pos AS line_no,
+         '  ' || {pad.format(x='sel.name')} ||
+         CASE WHEN sel.unsup THEN ' Silhouette: ' ELSE ' Accuracy: ' END ||
+         coalesce(printf('%.4f', sel.score), 'Failed') AS line
+  FROM sel)
+SELECT id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '[^\\x{{0000}}-\\x{{00FF}}]', '?', 'g') AS line
+FROM (SELECT * FROM hdr UNION ALL SELECT * FROM body)"""
+
+
+ORACLE["report_lines"] = _report_sql()
