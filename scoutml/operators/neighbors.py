@@ -1,6 +1,11 @@
-"""Exact pairwise work in bounded blocks (kNN, radius neighbours, silhouette sums).
+"""Exact pairwise work: kNN and radius neighbours on a pruning grid, and
+per-cluster distance sums (exact silhouette) in bounded blocks.
 
-Rows of each side are hashed on their unique id into blocks of about
+kNN and radius search project rows on their top principal axes and compare a
+row only with rows in neighbouring grid cells (an equi-join on cell keys); the
+projection never lengthens a distance, so the pruning drops no true answer.
+
+For the all-pairs sums, rows of each side are hashed on their unique id into blocks of about
 ``block_rows`` rows; each (left block, right block) cell is one
 ``cogroup().applyInPandas`` call that evaluates the distances of the cell in
 numpy and emits only what the caller needs (top-k per row, pairs within a
@@ -17,9 +22,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutml.session import cut
+
 DEFAULT_BLOCK_ROWS = 2048
 
 
@@ -76,8 +83,86 @@ def block_pairs(
     return lrep.groupBy("_lb", "_rb").cogroup(rrep.groupBy("_lb", "_rb")).applyInPandas(run, schema)
 
 
-# --------------------------------------------------------------------------- kNN
-def knn(
+# ------------------------------------------------------------- grid pruning
+GRID_DIMS = 3
+AXIS_SAMPLE_ROWS = 4096
+
+
+def _dist_expr(a: str, b: str, metric: str) -> Column:
+    """Exact distance of two array columns as one JVM expression."""
+    if metric == "manhattan":
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def grid_axes(df: DataFrame, col: str, m: int = GRID_DIMS) -> np.ndarray:
+    """Orthonormal axes (d x m) for the grid: the top-m principal axes of ``col``.
+
+    A projection on unit axes never lengthens a euclidean or manhattan distance,
+    so two rows within distance r differ by at most r on every axis, whatever
+    the axes are.  The axes only decide how much the grid prunes, not the
+    result; they are therefore estimated from a bounded sample of at most
+    ``AXIS_SAMPLE_ROWS`` rows (a d x d eigenproblem on the driver)."""
+    n = df.count()
+    if n == 0:
+        return np.zeros((0, 0))
+    part = df.select(col)
+    if n > AXIS_SAMPLE_ROWS:
+        part = part.sample(fraction=min(1.0, 2.0 * AXIS_SAMPLE_ROWS / n), seed=7)
+    x = np.array([np.asarray(v, dtype=np.float64) for v in part.limit(AXIS_SAMPLE_ROWS).toPandas()[col]])
+    d = x.shape[1]
+    if d <= m:
+        return np.eye(d)
+    vals, vecs = np.linalg.eigh(np.cov(x, rowvar=False) if len(x) > 1 else np.eye(d))
+    return vecs[:, np.argsort(-vals, kind="stable")[:m]]
+
+
+def _project(df: DataFrame, col: str, axes: np.ndarray, prefix: str) -> DataFrame:
+    xs = F.transform(col, lambda v: v.cast("double"))
+    return df.select("*", *[
+        F.aggregate(F.zip_with(xs, F.array(*[F.lit(float(a)) for a in axes[:, j]]), lambda u, v: u * v),
+                    F.lit(0.0), lambda s, v: s + v).alias(f"{prefix}{j}")
+        for j in range(axes.shape[1])
+    ])
+
+
+def _cells(df: DataFrame, prefix: str, m: int, side: float, spread: bool) -> DataFrame:
+    """Grid cell of every row (``g0..g{m-1}``); ``spread`` repeats each row for
+    its 3^m neighbouring cells (the probe side of the equi-join)."""
+    keys = [F.floor(F.col(f"{prefix}{j}") / F.lit(side)).cast("long") for j in range(m)]
+    if not spread:
+        return df.select("*", *[k.alias(f"g{j}") for j, k in enumerate(keys)])
+    offs = [[(i // 3 ** j) % 3 - 1 for j in range(m)] for i in range(3 ** m)]
+    off = F.explode(F.array(*[F.array(*[F.lit(o) for o in row]) for row in offs])).alias("_off")
+    return df.select("*", *[k.alias(f"_c{j}") for j, k in enumerate(keys)]).select("*", off).select(
+        "*", *[(F.col(f"_c{j}") + F.col("_off")[j]).alias(f"g{j}") for j in range(m)]
+    ).drop("_off", *[f"_c{j}" for j in range(m)])
+
+
+def _candidates(q: DataFrame, r: DataFrame, m: int, side: float, metric: str) -> DataFrame:
+    """All (query, ref) pairs in neighbouring cells with their exact distance."""
+    keys = [f"g{j}" for j in range(m)]
+    qc = _cells(q, "_qp", m, side, spread=True).drop(*[f"_qp{j}" for j in range(m)])
+    rc = _cells(r, "_rp", m, side, spread=False).drop(*[f"_rp{j}" for j in range(m)])
+    return qc.join(rc, keys).drop(*keys).withColumn("dist", _dist_expr("lx", "rx", metric)).drop("lx", "rx")
+
+
+def _spans(q: DataFrame, r: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Per axis: (max - min) of the projected refs and of refs and queries
+    together, plus a rounding tolerance for the projected coordinates."""
+    rows = []
+    for src, p in ((q, "_qp"), (r, "_rp")):
+        rows.append(src.agg(*[F.min(f"{p}{j}").alias(f"lo{j}") for j in range(m)],
+                            *[F.max(f"{p}{j}").alias(f"hi{j}") for j in range(m)]).first())
+    qa, ra = rows
+    ref_span = np.array([(ra[f"hi{j}"] or 0.0) - (ra[f"lo{j}"] or 0.0) for j in range(m)])
+    lo = np.array([min(v for v in (qa[f"lo{j}"], ra[f"lo{j}"], 0.0) if v is not None) for j in range(m)])
+    hi = np.array([max(v for v in (qa[f"hi{j}"], ra[f"hi{j}"], 0.0) if v is not None) for j in range(m)])
+    tol = 1e-9 * (1.0 + float(np.max(np.maximum(np.abs(lo), np.abs(hi)))))
+    return ref_span, hi - lo, tol
+
+
+def _knn_blocked(
     queries: DataFrame,
     refs: DataFrame,
     k: int,
@@ -86,11 +171,8 @@ def knn(
     payload: str | None = None,
     block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact k nearest refs of every query: ``(lid, rid, dist, nn_rank[, payload])``.
-
-    ``queries``: ``(lid, lx)``; ``refs``: ``(rid, rx[, payload])``.  Ties in
-    distance go to the lower ref id; ``exclude_self`` drops rid == lid.
-    """
+    """kNN over all (query block, ref block) pairs in numpy (used when the grid
+    cannot prune, e.g. isotropic high-dimensional rows)."""
     pay_type = dict(refs.dtypes)[payload] if payload else None
     schema = "lid long, rid long, dist double" + (f", payload {pay_type}" if payload else "")
 
@@ -124,10 +206,10 @@ def knn(
     return out
 
 
-def radius_pairs(
-    points: DataFrame, eps: float, metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS
+def _radius_blocked(
+    left: DataFrame, right: DataFrame, eps: float, metric: str = "euclidean", block_rows: int = DEFAULT_BLOCK_ROWS
 ) -> DataFrame:
-    """All ordered pairs (lid, rid) with distance <= eps, self pairs included."""
+    """Radius pairs over all block pairs in numpy (used when the grid cannot prune)."""
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         dm = distances(_matrix(lp["lx"]), _matrix(rp["rx"]), metric)
@@ -136,9 +218,134 @@ def radius_pairs(
             {"lid": lp["lid"].to_numpy(np.int64)[i], "rid": rp["rid"].to_numpy(np.int64)[j], "dist": dm[i, j]}
         )
 
+    return block_pairs(left.select("lid", "lx"), right.select("rid", "rx"), kernel, "lid long, rid long, dist double",
+                       block_rows)
+
+
+GRID_MAX_PAIR_SHARE = 0.1  # the JVM pair filter costs ~10x a numpy block kernel per pair
+PILOT_QUERIES = 64
+
+
+def _candidate_count(q: DataFrame, r: DataFrame, m: int, side: float) -> int:
+    """Exact number of (query, ref) pairs the grid would compare at ``side``,
+    from per-cell counts (aggregated map-side; no pair is formed)."""
+    keys = [f"g{j}" for j in range(m)]
+    rc = _cells(r.select(*[f"_rp{j}" for j in range(m)]), "_rp", m, side, spread=False).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rn"))
+    qc = _cells(q.select(*[f"_qp{j}" for j in range(m)]), "_qp", m, side, spread=True).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_qn"))
+    got = qc.join(rc, keys).agg(F.sum(F.col("_qn") * F.col("_rn")).alias("n")).first()["n"]
+    return int(got or 0)
+
+
+def _grid_prunes(q: DataFrame, r: DataFrame, m: int, side: float, n_q: int, n_r: int) -> bool:
+    return _candidate_count(q, r, m, side) <= GRID_MAX_PAIR_SHARE * n_q * n_r
+
+
+# --------------------------------------------------------------------------- kNN
+def knn(
+    queries: DataFrame,
+    refs: DataFrame,
+    k: int,
+    metric: str = "euclidean",
+    exclude_self: bool = False,
+    payload: str | None = None,
+) -> DataFrame:
+    """Exact k nearest refs of every query: ``(lid, rid, dist, nn_rank[, payload])``.
+
+    ``queries``: ``(lid, lx)``; ``refs``: ``(rid, rx[, payload])``.  Ties in
+    distance go to the lower ref id; ``exclude_self`` drops rid == lid.
+
+    Rows are placed on a grid over the top principal axes and each query is
+    compared only with refs in its 3^m neighbouring cells (an equi-join, then
+    the exact distance as a JVM expression).  A query is settled when it has k
+    candidates and its k-th distance is within the cell side: every ref that
+    close must lie in a neighbouring cell, ties included.  Unsettled queries go
+    to the next level with a cell side four times larger, so dense regions are
+    settled with small cells and sparse ones with large; at the last level the
+    cell spans the whole data and every remaining query is settled against all
+    refs.  Each level's results and leftover queries are checkpointed.
+
+    The first side is the 10th percentile of the k-th distances of up to 64
+    pilot queries (a sample only steers the side; the result is exact for any
+    side).  When the exact candidate count at that side (from per-cell counts)
+    exceeds a tenth of all pairs, the grid cannot prune (e.g. isotropic
+    high-dimensional rows) and the numpy block engine compares all pairs.
+    """
+    spark = queries.sparkSession
+    pay_cols = [payload] if payload else []
+    axes = grid_axes(refs, "rx")
+    m = axes.shape[1]
+    n_refs = refs.count()
+    if m == 0 or n_refs == 0:
+        schema = "lid long, rid long, dist double" + (f", {payload} {dict(refs.dtypes)[payload]}" if payload else "")
+        return spark.createDataFrame([], schema + ", nn_rank int")
+    q = cut(_project(queries.select("lid", "lx"), "lx", axes, "_qp"))
+    r = cut(_project(refs.select("rid", "rx", *pay_cols), "rx", axes, "_rp"))
+    n_q = q.count()
+    ref_span, span, tol = _spans(q, r, m)
+    top = float(span.max()) + 2 * tol
+    w = Window.partitionBy("lid").orderBy("dist", "rid")
+
+    def ranked_at(pend: DataFrame, side: float) -> DataFrame:
+        cand = _candidates(pend, r, m, side, metric)
+        if exclude_self:
+            cand = cand.where(F.col("lid") != F.col("rid"))
+        return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+    pilot = q.sample(fraction=min(1.0, PILOT_QUERIES / max(n_q, 1)), seed=11).limit(PILOT_QUERIES)
+    kth = (ranked_at(pilot, top).groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
+           .where(F.col("_c") == k).agg(F.percentile_approx("_dk", 0.1).alias("d")).first()["d"])
+    if kth is None:
+        vol = float(np.prod(np.maximum(ref_span, tol)))
+        side = min(top, (vol * k / n_refs) ** (1.0 / m))
+    else:
+        side = min(top, float(kth) + 2 * tol)
+    side = max(side, top / 4.0 ** 12)
+    if not _grid_prunes(q, r, m, side, n_q, n_refs):
+        blocked = _knn_blocked(q.select("lid", "lx"), r.select("rid", "rx", *pay_cols), k, metric, exclude_self, payload)
+        return blocked.select("lid", "rid", "dist", *pay_cols, F.col("nn_rank").cast("int").alias("nn_rank"))
+    pending, parts = q, []
+    while True:
+        last = side >= top
+        ranked = cut(ranked_at(pending, side))
+        if last:
+            parts.append(ranked)
+            break
+        settled = (ranked.groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
+                   .where((F.col("_c") == k) & (F.col("_dk") + F.lit(tol) <= F.lit(side))).select("lid"))
+        parts.append(ranked.join(settled, "lid", "left_semi"))
+        pending = cut(pending.join(settled, "lid", "left_anti"))
+        if pending.isEmpty():
+            break
+        side = min(side * 4.0, top)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("lid", "rid", "dist", *pay_cols, F.col("nn_rank").cast("int").alias("nn_rank"))
+
+
+def radius_pairs(points: DataFrame, eps: float, metric: str = "euclidean") -> DataFrame:
+    """All ordered pairs (lid, rid) with distance <= eps, self pairs included.
+
+    One grid level with cell side eps over the top principal axes: every pair
+    within eps lies in neighbouring cells, so the equi-join on cells followed by
+    the exact distance filter is complete and exact.  When the exact candidate
+    count exceeds a tenth of all pairs the numpy block engine is used instead."""
     left = points.select(F.col("id").alias("lid"), F.col("x").alias("lx"))
     right = points.select(F.col("id").alias("rid"), F.col("x").alias("rx"))
-    return block_pairs(left, right, kernel, "lid long, rid long, dist double", block_rows)
+    axes = grid_axes(right, "rx")
+    m = axes.shape[1]
+    if m == 0:
+        return points.sparkSession.createDataFrame([], "lid long, rid long, dist double")
+    q = cut(_project(left, "lx", axes, "_qp"))
+    r = cut(_project(right, "rx", axes, "_rp"))
+    _, _, tol = _spans(q, r, m)
+    side = max(float(eps), 0.0) + tol
+    n = r.count()
+    if not _grid_prunes(q, r, m, side, n, n):
+        return _radius_blocked(q, r, eps, metric)
+    return _candidates(q, r, m, side, metric).where(F.col("dist") <= F.lit(float(eps))).select("lid", "rid", "dist")
 
 
 def cluster_distance_sums(points: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:

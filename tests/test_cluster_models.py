@@ -24,7 +24,7 @@ def test_kmeans_blobs(spark, rng):
 
 def test_dbscan_two_blobs_and_noise(spark, rng):
     x = np.vstack([_blobs(rng), [[20.0, 20.0]]])
-    lab = CL.dbscan(points_df(spark, x), 1.0, 4, block_rows=32).toPandas().sort_values("id")["cluster"].to_numpy()
+    lab = CL.dbscan(points_df(spark, x), 1.0, 4).toPandas().sort_values("id")["cluster"].to_numpy()
     assert _pure(lab[:100]) and lab[100] == -1
     assert lab[0] == 0  # clusters numbered by their smallest core id
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import points_df
@@ -16,7 +17,7 @@ def test_knn_blocked_matches_brute_force(spark, rng):
     p = points_df(spark, x)
     q = p.select(F.col("id").alias("lid"), F.col("x").alias("lx"))
     r = p.select(F.col("id").alias("rid"), F.col("x").alias("rx"))
-    got = NB.knn(q, r, 5, exclude_self=True, block_rows=16).toPandas()
+    got = NB.knn(q, r, 5, exclude_self=True).toPandas()
     d = _brute(x)
     np.fill_diagonal(d, np.inf)
     for i in range(len(x)):
@@ -27,11 +28,42 @@ def test_knn_blocked_matches_brute_force(spark, rng):
 
 def test_radius_pairs(spark, rng):
     x = rng.normal(size=(80, 3))
-    got = NB.radius_pairs(points_df(spark, x), 1.0, block_rows=10).toPandas()
+    got = NB.radius_pairs(points_df(spark, x), 1.0).toPandas()
     d = _brute(x)
     assert len(got) == int((d <= 1.0).sum())
 
 
+@pytest.mark.parametrize("share", [1.0, 0.0])  # grid path forced / block engine forced
+def test_knn_grid_skewed_density_duplicates_and_manhattan(spark, rng, monkeypatch, share):
+    monkeypatch.setattr(NB, "GRID_MAX_PAIR_SHARE", share)
+    # a dense blob holding a third of the rows (with exact duplicates), spread
+    # rows and far outliers: the grid settles them at different levels
+    x = np.vstack([rng.normal(0, 0.01, (50, 6)), np.repeat(rng.normal(0, 0.01, (1, 6)), 10, axis=0),
+                   rng.normal(0, 3, (80, 6)), rng.normal(0, 50, (10, 6))])
+    p = points_df(spark, x)
+    q = p.select(F.col("id").alias("lid"), F.col("x").alias("lx"))
+    r = p.select(F.col("id").alias("rid"), F.col("x").alias("rx"))
+    for metric, d in (("euclidean", _brute(x)), ("manhattan", np.abs(x[:, None, :] - x[None, :, :]).sum(-1))):
+        got = NB.knn(q, r, 7, metric=metric, exclude_self=True).toPandas()
+        np.fill_diagonal(d, np.inf)
+        assert len(got) == 7 * len(x)
+        for i in range(len(x)):
+            exp = list(np.lexsort((np.arange(len(x)), d[i]))[:7])
+            rows = got[got.lid == i].sort_values("nn_rank")
+            assert rows.rid.tolist() == exp and rows.nn_rank.tolist() == list(range(1, 8))
+            assert np.allclose(rows.dist.to_numpy(), d[i, exp])
+
+
+@pytest.mark.parametrize("share", [1.0, 0.0])
+def test_radius_pairs_high_dim(spark, rng, monkeypatch, share):
+    monkeypatch.setattr(NB, "GRID_MAX_PAIR_SHARE", share)
+    x = np.vstack([rng.normal(0, 0.3, (60, 10)), rng.normal(2, 0.3, (60, 10))])
+    got = NB.radius_pairs(points_df(spark, x), 1.2).toPandas()
+    d = _brute(x)
+    exp = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 1.2))}
+    assert set(zip(got.lid.astype(int), got.rid.astype(int))) == exp and len(got) == len(exp)
+
+
 def test_silhouettes_and_indices(spark, rng):
     x = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(4, 1, (40, 3)), rng.normal([0, 5, 0], 1, (20, 3))])
     lab = np.array([0] * 40 + [1] * 40 + [2] * 20)
