@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ def test_agglomerative(spark, rng):
         assert exact and _pure(lab.toPandas().sort_values("id")["cluster"].to_numpy())
 
 
-def test_gmm_em_likelihood_non_decreasing(spark, rng):
-    lab, hist = CL.gmm_em(points_df(spark, _blobs(rng)), 2, "diag", max_iter=15)
+@pytest.mark.parametrize("cov", ["diag", "spherical", "tied"])
+def test_gmm_em_likelihood_non_decreasing(spark, rng, cov):
+    lab, hist = CL.gmm_em(points_df(spark, _blobs(rng)), 2, cov, max_iter=15)
     assert all(b >= a - 1e-9 for a, b in zip(hist, hist[1:]))
     assert _pure(lab.toPandas().sort_values("id")["cluster"].to_numpy())
 
