@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,6 @@ def block_pairs(
 
 # ------------------------------------------------------------- grid pruning
 GRID_DIMS = 3
-AXIS_SAMPLE_ROWS = 4096
 
 
 def _dist_expr(a: str, b: str, metric: str) -> Column:
@@ -100,20 +100,30 @@ def grid_axes(df: DataFrame, col: str, m: int = GRID_DIMS) -> np.ndarray:
 
     A projection on unit axes never lengthens a euclidean or manhattan distance,
     so two rows within distance r differ by at most r on every axis, whatever
-    the axes are.  The axes only decide how much the grid prunes, not the
-    result; they are therefore estimated from a bounded sample of at most
-    ``AXIS_SAMPLE_ROWS`` rows (a d x d eigenproblem on the driver)."""
-    n = df.count()
-    if n == 0:
+    the axes are; the axes only decide how much the grid prunes.  One pass:
+    every Arrow batch adds its row count, sums and Gram matrix in numpy, Spark
+    sums the batch vectors, and the driver solves one d x d eigenproblem."""
+    from pyspark.ml.stat import Summarizer
+
+    first = df.select(F.size(col).alias("d")).first()
+    if first is None:
         return np.zeros((0, 0))
-    part = df.select(col)
-    if n > AXIS_SAMPLE_ROWS:
-        part = part.sample(fraction=min(1.0, 2.0 * AXIS_SAMPLE_ROWS / n), seed=7)
-    x = np.array([np.asarray(v, dtype=np.float64) for v in part.limit(AXIS_SAMPLE_ROWS).toPandas()[col]])
-    d = x.shape[1]
+    d = int(first["d"])
     if d <= m:
         return np.eye(d)
-    vals, vecs = np.linalg.eigh(np.cov(x, rowvar=False) if len(x) > 1 else np.eye(d))
+
+    def gram(batches):
+        for b in batches:
+            if len(b) == 0:
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in b[col].values])
+            yield pd.DataFrame({"st": [np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]).tolist()]})
+
+    st = df.select(col).mapInPandas(gram, "st array<double>")
+    tot = np.array(st.agg(Summarizer.sum(array_to_vector("st")).alias("t")).first()["t"].toArray())
+    n, sums, g = tot[0], tot[1:1 + d], tot[1 + d:].reshape(d, d)
+    cov = (g - np.outer(sums, sums) / n) / max(n - 1.0, 1.0)
+    vals, vecs = np.linalg.eigh(cov)
     return vecs[:, np.argsort(-vals, kind="stable")[:m]]
 
 
@@ -266,9 +276,9 @@ def knn(
     cell spans the whole data and every remaining query is settled against all
     refs.  Each level's results and leftover queries are checkpointed.
 
-    The first side is the 10th percentile of the k-th distances of up to 64
-    pilot queries (a sample only steers the side; the result is exact for any
-    side).  When the exact candidate count at that side (from per-cell counts)
+    The first side is the 10th percentile of the k-th distances of about 64
+    sampled pilot queries (the sample only steers the side; the result is
+    exact for any side).  When the exact candidate count at that side (from per-cell counts)
     exceeds a tenth of all pairs, the grid cannot prune (e.g. isotropic
     high-dimensional rows) and the numpy block engine compares all pairs.
     """
@@ -293,7 +303,7 @@ def knn(
             cand = cand.where(F.col("lid") != F.col("rid"))
         return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
 
-    pilot = q.sample(fraction=min(1.0, PILOT_QUERIES / max(n_q, 1)), seed=11).limit(PILOT_QUERIES)
+    pilot = q.sample(fraction=min(1.0, PILOT_QUERIES / max(n_q, 1)), seed=11)
     kth = (ranked_at(pilot, top).groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
            .where(F.col("_c") == k).agg(F.percentile_approx("_dk", 0.1).alias("d")).first()["d"])
     if kth is None:
