@@ -54,6 +54,25 @@ def test_knn_grid_skewed_density_duplicates_and_manhattan(spark, rng, monkeypatc
             assert np.allclose(rows.dist.to_numpy(), d[i, exp])
 
 
+@pytest.mark.parametrize("share", [1.0, 0.0])
+def test_knn_disjoint_queries_payload_and_k_above_refs(spark, rng, monkeypatch, share):
+    monkeypatch.setattr(NB, "GRID_MAX_PAIR_SHARE", share)
+    qx, rx = rng.normal(0, 1, (40, 3)), np.vstack([rng.normal(0, 1, (30, 3)), rng.normal(8, 1, (5, 3))])
+    q = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(qx)], "lid long, lx array<double>")
+    r = spark.createDataFrame([(100 + j, [float(v) for v in row], j % 3) for j, row in enumerate(rx)],
+                              "rid long, rx array<double>, label int")
+    d = np.sqrt(((qx[:, None, :] - rx[None, :, :]) ** 2).sum(-1))
+    for k in (4, 50):
+        got = NB.knn(q, r, k, payload="label").toPandas()
+        kk = min(k, len(rx))
+        assert len(got) == kk * len(qx)
+        for i in range(len(qx)):
+            exp = list(np.lexsort((np.arange(len(rx)), d[i]))[:kk])
+            rows = got[got.lid == i].sort_values("nn_rank")
+            assert rows.rid.tolist() == [100 + j for j in exp]
+            assert rows.label.tolist() == [j % 3 for j in exp]
+
+
 @pytest.mark.parametrize("share", [1.0, 0.0])
 def test_radius_pairs_high_dim(spark, rng, monkeypatch, share):
     monkeypatch.setattr(NB, "GRID_MAX_PAIR_SHARE", share)
