@@ -101,11 +101,8 @@ def contamination_cut(spark, sf):
 
 def dbscan_core(spark, sf):
     """K2 core step: neighbours within eps (self included) and the core flag."""
-    from scoutml.operators.neighbors import radius_pairs
-
-    p = _points(spark, sf).select("id", "x")
-    deg = radius_pairs(p, EPS).groupBy("lid").agg(F.count(F.lit(1)).alias("n_neighbors"))
-    return deg.select(F.col("lid").alias("row_id"), "n_neighbors", (F.col("n_neighbors") >= MIN_SAMPLES).alias("is_core"))
+    deg = CL.neighbor_counts(_points(spark, sf).select("id", "x"), EPS)
+    return deg.select(F.col("id").alias("row_id"), "n_neighbors", (F.col("n_neighbors") >= MIN_SAMPLES).alias("is_core"))
 
 
 def dbscan(spark, sf):

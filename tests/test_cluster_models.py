@@ -30,6 +30,37 @@ def test_dbscan_two_blobs_and_noise(spark, rng):
     assert lab[0] == 0  # clusters numbered by their smallest core id
 
 
+def test_dbscan_repeated_points_match_row_level(spark, rng):
+    # one position repeated across a third of the rows, plus two spread groups
+    x = np.vstack([np.repeat([[0.3, -0.2]], 40, axis=0), rng.normal(0, 0.4, (40, 2)), rng.normal(5, 0.4, (40, 2)),
+                   [[20.0, 20.0]]])
+    p = points_df(spark, x)
+    got = CL.dbscan(p, 0.5, 5).toPandas().sort_values("id")["cluster"].to_numpy()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    nb = d <= 0.5
+    core = nb.sum(1) >= 5
+    # brute-force reference: components of core rows, numbered by smallest core id
+    comp = -np.ones(len(x), dtype=int)
+    for i in np.nonzero(core)[0]:
+        if comp[i] >= 0:
+            continue
+        stack, comp[i] = [i], i
+        while stack:
+            j = stack.pop()
+            for t in np.nonzero(nb[j] & core)[0]:
+                if comp[t] < 0:
+                    comp[t] = i
+                    stack.append(t)
+    roots = sorted(set(comp[core]))
+    exp = np.array([roots.index(c) if c >= 0 else -1 for c in comp])
+    for i in np.nonzero(~core)[0]:
+        adj = [exp[t] for t in np.nonzero(nb[i] & core)[0]]
+        exp[i] = min(adj) if adj else -1
+    assert (got == exp).all()
+    cnt = CL.neighbor_counts(p, 0.5).toPandas().sort_values("id")["n_neighbors"].to_numpy()
+    assert (cnt == nb.sum(1)).all()
+
+
 def test_agglomerative(spark, rng):
     for link in ("single", "ward", "average", "complete"):
         lab, exact = CL.agglomerative(points_df(spark, _blobs(rng)), 2, link)
