@@ -252,6 +252,25 @@ def _grid_prunes(q: DataFrame, r: DataFrame, m: int, side: float, n_q: int, n_r:
     return _candidate_count(q, r, m, side) <= GRID_MAX_PAIR_SHARE * n_q * n_r
 
 
+SALT_ROWS = 100_000
+
+
+def _positions(refs: DataFrame, keep: int, n_refs: int) -> DataFrame:
+    """Distinct ref positions ``(rx, _refs)`` with the ``keep`` lowest-id refs
+    of each position (ties in distance go to the lower id, so no other ref at
+    that position can ever be among a query's k nearest).  The cut is taken in
+    two window stages, first per (position, id-hash salt) and then per position
+    over at most salts x keep rows, so a position holding a third of the rows
+    is spread over many tasks."""
+    salts = max(1, n_refs // SALT_ROWS)
+    first = (refs.withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
+             .withColumn("_r", F.row_number().over(Window.partitionBy("rx", "_salt").orderBy("rid")))
+             .where(F.col("_r") <= keep).drop("_salt", "_r"))
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy("rx").orderBy("rid"))).where(F.col("_r") <= keep)
+    cols = [c for c in refs.columns if c != "rx"]
+    return kept.groupBy("rx").agg(F.collect_list(F.struct(*cols)).alias("_refs"))
+
+
 # --------------------------------------------------------------------------- kNN
 def knn(
     queries: DataFrame,
@@ -266,6 +285,8 @@ def knn(
     ``queries``: ``(lid, lx)``; ``refs``: ``(rid, rx[, payload])``.  Ties in
     distance go to the lower ref id; ``exclude_self`` drops rid == lid.
 
+    Refs are first reduced to distinct positions carrying their k (+1 with
+    ``exclude_self``) lowest ids, so repeated points cost one comparison.
     Rows are placed on a grid over the top principal axes and each query is
     compared only with refs in its 3^m neighbouring cells (an equi-join, then
     the exact distance as a JVM expression).  A query is settled when it has k
@@ -291,14 +312,16 @@ def knn(
         schema = "lid long, rid long, dist double" + (f", {payload} {dict(refs.dtypes)[payload]}" if payload else "")
         return spark.createDataFrame([], schema + ", nn_rank int")
     q = cut(_project(queries.select("lid", "lx"), "lx", axes, "_qp"))
-    r = cut(_project(refs.select("rid", "rx", *pay_cols), "rx", axes, "_rp"))
+    r = cut(_project(_positions(refs.select("rid", "rx", *pay_cols), k + (1 if exclude_self else 0), n_refs),
+                     "rx", axes, "_rp"))
     n_q = q.count()
     ref_span, span, tol = _spans(q, r, m)
     top = float(span.max()) + 2 * tol
     w = Window.partitionBy("lid").orderBy("dist", "rid")
 
     def ranked_at(pend: DataFrame, side: float) -> DataFrame:
-        cand = _candidates(pend, r, m, side, metric)
+        cand = _candidates(pend, r, m, side, metric).select("lid", "dist", F.explode("_refs").alias("_e"))
+        cand = cand.select("lid", "dist", "_e.rid", *[f"_e.{c}" for c in pay_cols])
         if exclude_self:
             cand = cand.where(F.col("lid") != F.col("rid"))
         return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
@@ -313,7 +336,8 @@ def knn(
         side = min(top, float(kth) + 2 * tol)
     side = max(side, top / 4.0 ** 12)
     if not _grid_prunes(q, r, m, side, n_q, n_refs):
-        blocked = _knn_blocked(q.select("lid", "lx"), r.select("rid", "rx", *pay_cols), k, metric, exclude_self, payload)
+        blocked = _knn_blocked(q.select("lid", "lx"), refs.select("rid", "rx", *pay_cols), k, metric, exclude_self,
+                               payload)
         return blocked.select("lid", "rid", "dist", *pay_cols, F.col("nn_rank").cast("int").alias("nn_rank"))
     pending, parts = q, []
     while True:

@@ -36,6 +36,7 @@ def test_radius_pairs(spark, rng):
 @pytest.mark.parametrize("share", [1.0, 0.0])  # grid path forced / block engine forced
 def test_knn_grid_skewed_density_duplicates_and_manhattan(spark, rng, monkeypatch, share):
     monkeypatch.setattr(NB, "GRID_MAX_PAIR_SHARE", share)
+    monkeypatch.setattr(NB, "SALT_ROWS", 7)  # several salts per repeated position
     # a dense blob holding a third of the rows (with exact duplicates), spread
     # rows and far outliers: the grid settles them at different levels
     x = np.vstack([rng.normal(0, 0.01, (50, 6)), np.repeat(rng.normal(0, 0.01, (1, 6)), 10, axis=0),
