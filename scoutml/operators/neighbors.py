@@ -298,8 +298,9 @@ def knn(
     refs.  Each level's results and leftover queries are checkpointed.
 
     The first side is the 10th percentile of the k-th distances of about 64
-    sampled pilot queries (the sample only steers the side; the result is
-    exact for any side).  When the exact candidate count at that side (from per-cell counts)
+    sampled pilot queries, found by grid levels (16x steps) started from a
+    uniform-density guess, so the pilot is pruned too (the sample only steers
+    the side; the result is exact for any side).  When the exact candidate count at that side (from per-cell counts)
     exceeds a tenth of all pairs, the grid cannot prune (e.g. isotropic
     high-dimensional rows) and the numpy block engine compares all pairs.
     """
@@ -326,36 +327,48 @@ def knn(
             cand = cand.where(F.col("lid") != F.col("rid"))
         return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
 
+    def settle(pending: DataFrame, side: float) -> DataFrame:
+        """The level loop: settled rows of every level until all are settled."""
+        parts = []
+        while True:
+            last = side >= top
+            ranked = cut(ranked_at(pending, side))
+            if last:
+                parts.append(ranked)
+                break
+            settled = (ranked.groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
+                       .where((F.col("_c") == k) & (F.col("_dk") + F.lit(tol) <= F.lit(side))).select("lid"))
+            parts.append(ranked.join(settled, "lid", "left_semi"))
+            pending = cut(pending.join(settled, "lid", "left_anti"))
+            if pending.isEmpty():
+                break
+            side = min(side * 4.0, top)
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    floor = top / 4.0 ** 12
+    vol = float(np.prod(np.maximum(ref_span, tol)))
+    side = max(min(top, (vol * k / n_refs) ** (1.0 / m)), floor)  # uniform-density guess
+    # pilot: ~64 sampled queries through grid levels, one small job per level
     pilot = q.sample(fraction=min(1.0, PILOT_QUERIES / max(n_q, 1)), seed=11)
-    kth = (ranked_at(pilot, top).groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
-           .where(F.col("_c") == k).agg(F.percentile_approx("_dk", 0.1).alias("d")).first()["d"])
-    if kth is None:
-        vol = float(np.prod(np.maximum(ref_span, tol)))
-        side = min(top, (vol * k / n_refs) ** (1.0 / m))
-    else:
-        side = min(top, float(kth) + 2 * tol)
-    side = max(side, top / 4.0 ** 12)
+    pend, kths, s_p = [r_["lid"] for r_ in pilot.select("lid").collect()], [], side
+    while pend:
+        last = s_p >= top
+        stats = (ranked_at(pilot.where(F.col("lid").isin(pend)), s_p).groupBy("lid")
+                 .agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk")).collect())
+        done = {r_["lid"]: r_["_dk"] for r_ in stats if r_["_c"] == k and (last or r_["_dk"] + tol <= s_p)}
+        kths += list(done.values())
+        pend = [] if last else [i for i in pend if i not in done]
+        s_p = min(s_p * 16.0, top)  # coarser steps: the pilot only estimates a side
+    if kths:
+        side = max(min(top, float(np.percentile(kths, 10)) + 2 * tol), floor)
     if not _grid_prunes(q, r, m, side, n_q, n_refs):
         blocked = _knn_blocked(q.select("lid", "lx"), refs.select("rid", "rx", *pay_cols), k, metric, exclude_self,
                                payload)
         return blocked.select("lid", "rid", "dist", *pay_cols, F.col("nn_rank").cast("int").alias("nn_rank"))
-    pending, parts = q, []
-    while True:
-        last = side >= top
-        ranked = cut(ranked_at(pending, side))
-        if last:
-            parts.append(ranked)
-            break
-        settled = (ranked.groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_dk"))
-                   .where((F.col("_c") == k) & (F.col("_dk") + F.lit(tol) <= F.lit(side))).select("lid"))
-        parts.append(ranked.join(settled, "lid", "left_semi"))
-        pending = cut(pending.join(settled, "lid", "left_anti"))
-        if pending.isEmpty():
-            break
-        side = min(side * 4.0, top)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = settle(q, side)
     return out.select("lid", "rid", "dist", *pay_cols, F.col("nn_rank").cast("int").alias("nn_rank"))
 
 
