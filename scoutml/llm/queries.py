@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutml.llm import chunk_bpe, packing
+from scoutml.llm import chunk_bpe, packing, secrets, sharding, topk, url_filter
 from scoutml.llm.common import table
 
 QUERIES: dict = {}
@@ -17,12 +17,31 @@ def query(fn):
     return fn
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.KINDS],
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op2_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf, "documents"))
     return packing.piece_checksums(pieces)
 
 
+@query
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf, "pages"))
+
+
+ORACLE["op6_url_filter"] = url_filter.ORACLE_SQL
+
+
 @query
 def op7_chunked_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = chunk_bpe.decode_documents(chunk_bpe.encode_documents(table(spark, sf, "documents")))
@@ -32,3 +51,17 @@ def op7_chunked_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLE["op9_exact_topk"] = topk.ORACLE_SQL
+
+
+@query
+def op10_rendezvous_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents"), shards=24)
