@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutml.llm import chunk_bpe, packing, secrets, sharding, topk, url_filter
+from scoutml.llm import chunk_bpe, packing, quality, secrets, sharding, topk, url_filter
 from scoutml.llm.common import table
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op7_chunked_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality_mcd(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"))
+
+
 @query
 def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")

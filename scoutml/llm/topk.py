@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROW_BLOCK, QUERY_BLOCK = 8192, 2048
-DEPTHS = (0.15, 0.3, 0.5, 0.7)
+DEPTHS = (0.4, 0.7, 0.85)
 _OUT = "query_id long, vec_id long, score long"
 
 
