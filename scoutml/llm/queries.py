@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutml.llm import chunk_bpe, packing, quality, secrets, sharding, topk, url_filter
+from scoutml.llm import chunk_bpe, jaccard, langid, packing, quality, secrets, sharding, topk, toxicity, url_filter
 from scoutml.llm.common import table
 
 QUERIES: dict = {}
@@ -34,6 +34,28 @@ def op2_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.piece_checksums(pieces)
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+@query
+def op4_language_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.train(docs, table(spark, sf, "labels")).score(docs)
+    return scored.select(
+        "doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf, "pages"))
