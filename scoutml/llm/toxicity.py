@@ -4,9 +4,12 @@ Labelled rows that are not held out (crc32 of the key mod 5 is not 0) are taken
 up to ``TRAIN_ROWS`` (a hash sample; all of them where there are fewer) and dealt
 by another hash: half teach the lexicon, 3 in 10 the trees, 2 in 10 the
 calibration, so neither trees nor calibration see rows the lexicon was made of.
+Of sampled rows with the same smallest shingle code (copies) one is used.
 
 * Lexicon: words whose odds in toxic documents are above ``ODDS`` (log) and
   significant (``Z``); those above ``STRONG`` are strong.  At most ``TERMS`` words.
+  Uses with the same two neighbour words count once, so a passage that is copied
+  does not make its words terms.
 * Features of a whole text, found by one Aho-Corasick pass and a byte histogram:
   densities and numbers of strong and mild terms, different strong terms, strong
   terms near a second-person word, shares of capitals, exclamation marks, other
@@ -33,9 +36,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoutml.llm.langid import held_out
+from scoutml.llm.shingles import shingle_sets
 from scoutml.session import cut
 
 TRAIN_ROWS = 12_000
@@ -44,7 +49,7 @@ TREES, DEPTH, STEP = 12, 3, 0.3
 NEAR = 40
 FEATURES = (
     "strong_density", "strong_log", "strong_kinds", "mild_density", "mild_log", "second_person", "second_person_log",
-    "capitals", "exclamations", "punctuation", "digits", "obfuscated", "hidden_log", "words_log",
+    "capitals", "exclamations", "punctuation", "digits", "obfuscated", "hidden_log",
 )
 _WORD = re.compile(r"[^\W\d_]+")
 #: second-person words of some languages
@@ -97,7 +102,7 @@ class Lexicon:
         return [
             100.0 * len(strong) / words, math.log1p(len(strong)), float(len({h[2] for h in strong})), 100.0 * mild / words,
             math.log1p(mild), 100.0 * near / words, math.log1p(near), float(raw[65:91].sum()) / chars, float(raw[33]) / chars,
-            float(raw[_PUNCT].sum()) / chars, float(raw[48:58].sum()) / chars, float(len(odd)) / words, math.log1p(hidden), math.log(words),
+            float(raw[_PUNCT].sum()) / chars, float(raw[48:58].sum()) / chars, float(len(odd)) / words, math.log1p(hidden),
         ]
 
 
@@ -118,23 +123,35 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     taken = cut(usable.where(draw(F.col("doc_id").cast("long"), "tox") < share).withColumnRenamed("doc_id", "__id"))
     some = docs.where(draw(F.col(key).cast("long"), "tox") < share)
     rows = some.join(F.broadcast(taken), F.col(key) == F.col("__id"))
-    return rows.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__label").alias("label"),
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__label").alias("label"),
                        draw(F.col(key).cast("long"), "deal").alias("deal"))
 
+    @F.pandas_udf("long")
+    def smallest(column: pd.Series) -> pd.Series:
+        sets = shingle_sets(column.tolist())
+        return pd.Series([int(x[0]) >> 1 if len(x) else -1 for x in sets], dtype="int64")
+
+    first = W.partitionBy("code").orderBy("id", "text")
+    return rows.withColumn("code", smallest("text")).withColumn("r", F.row_number().over(first)).where("r = 1").drop("code", "r")
+
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Words over-represented in the toxic rows of (text, label)."""
     def words(batches):
         for pdf in batches:
-            pairs = [(w, y) for t, y in zip(pdf["text"], pdf["label"]) for w in set(_WORD.findall(t.lower()))]
-            yield pd.DataFrame(pairs, columns=["word", "label"]).groupby(["word", "label"]).size().reset_index(name="c")
+            for t, y in zip(pdf["text"], pdf["label"]):
+                found = _WORD.findall(t.lower())
+                around = dict(zip(found, zip(["", *found], [*found[1:], ""])))
+                yield pd.DataFrame([(w, y, f"{a} {b}") for w, (a, b) in around.items()], columns=["word", "label", "around"])
 
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not toxic or not clean:
         return Lexicon([], [])
-    counts = rows.select("text", "label").mapInPandas(words, "word string, label double, c long").groupBy("word").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("k"), F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("n"))
+    counts = rows.select("text", "label").mapInPandas(words, "word string, label double, around string").distinct()
+    counts = counts.groupBy("word").agg(
+        F.count(F.when(F.col("label") == 1, 1)).alias("k"), F.count(F.when(F.col("label") == 0, 1)).alias("n"))
+    counts = counts.withColumns({"k": F.least("k", F.lit(toxic)), "n": F.least("n", F.lit(clean))})
     k, n = F.col("k") + 0.5, F.col("n") + 0.5
     odds = F.log(k / (toxic + 1 - k)) - F.log(n / (clean + 1 - n))
     scored = counts.where("k > 1").withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / k + 1 / n))
