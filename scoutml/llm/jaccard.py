@@ -4,17 +4,19 @@ Sets of equal shingles are one class.  If two sets have a Jaccard similarity of
 t or more, then under every common order of the tokens their prefixes (the first
 n - ceil(t n) + 1 tokens) share one.
 
-* Order 1 puts frequent tokens last: the ``FREQUENT`` tokens that stand in most
-  prefixes of a plain hash order (a bounded list; it changes only the order, so
-  never the result), then by hash.  Passages that many documents share thus drop
+* Order 1 puts frequent tokens last: the ``FREQUENT`` tokens that are counted
+  most (a bounded list; it changes only the order, so never the result), then by
+  hash.  Passages that many documents share thus drop
   out of the prefixes of all documents that have enough words of their own.
 * Classes that share a prefix token of order 1 are candidates.  Lists of one
   token are not expanded into pairs: a list is compared with one pivot of its
   own, the classes that are found linked become one component, and lists whose
-  classes are in one component are done.  Other pivots follow in further rounds
-  until what remains (pairs of one list in different components) is small
-  beside the lists; these pairs are then all compared, so no link between
-  components is lost.
+  classes are in one component are done.  The first pivot is the class with the
+  smallest share of rare tokens (an original among its edited copies), others
+  follow in further rounds as long as they join enough.  All remaining pairs of
+  one list in different components are then compared, if sizes and the places of
+  the shared token leave room for the threshold (the first shared token of two
+  similar sets always does), so no link between components is lost.
 * A pair must also share a prefix token under orders 2 and 3 (other hash
   orders); only pairs that pass all filters are verified on their whole sets.
 
@@ -32,12 +34,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoutml.llm.common import keyed_text, list_array, map_batches
 from scoutml.llm.components import connected_components
-from scoutml.llm.shingles import mix, shingle_sets
+from scoutml.llm.shingles import Flat, mix, shingle_slices
 from scoutml.session import cut
 
 #: linked if PERCENT * union <= 100 * intersection
@@ -49,41 +53,50 @@ SALTS = 16
 ROUNDS, REST = 6, 2.0
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
+    """Also of an array."""
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _keys(s: np.ndarray) -> tuple[int, int]:
-    """Two codes of a set, as signed numbers."""
-    with np.errstate(over="ignore"):
-        one, two = mix(s, 5).sum(), mix(s, 6).sum()
-    return int(mix(one[None], 7).view(np.int64)[0]), int(mix(two[None], 8).view(np.int64)[0])
-
-
 def _long(values) -> pa.Array:
     return pa.array(values, type=pa.int64())
 
 
+def _slices(batch: pa.RecordBatch):
+    for low, sets in shingle_slices(batch.column(1).to_pylist()):
+        yield low, sets, Flat(sets)
+
+
 def _per_document(rows: DataFrame) -> DataFrame:
     """(doc_id, n, code, code2) of each row."""
 
     def step(batch: pa.RecordBatch):
-        sets = list(shingle_sets(batch.column(1).to_pylist()))
-        keys = [_keys(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), _long([len(s) for s in sets]), _long([k[0] for k in keys]), _long([k[1] for k in keys])],
-            names=["doc_id", "n", "code", "code2"],
-        )
+        for low, sets, flat in _slices(batch):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, len(sets)), _long(flat.size), _long(flat.keys(5)), _long(flat.keys(7))],
+                names=["doc_id", "n", "code", "code2"],
+            )
 
     return map_batches(rows, lambda: step, "doc_id long, n long, code long, code2 long")
 
 
 def _frequent_tokens(rows: DataFrame) -> np.ndarray:
-    """The tokens that stand in most prefixes (a quarter longer than needed) of the plain order; bounded, sorted."""
+    """The most frequent tokens, bounded and sorted.
+
+    Counted are the prefixes of the plain order, and beyond them what stands in
+    several sets of one batch: once frequent tokens are put last, the prefix
+    reaches further into a set.
+    """
 
     def step(batch: pa.RecordBatch):
-        heads = [s[: prefix_length(len(s)) * 5 // 4] for s in shingle_sets(batch.column(1).to_pylist()) if len(s)]
-        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True)
+        heads, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for _, _, f in _slices(batch):
+            head = f.rank < prefix_length(f.size)[f.of]
+            heads.append(f.code[head])
+            tails.append(f.code[~head])
+        token, count = np.unique(np.concatenate(heads), return_counts=True)
+        other, more = np.unique(np.concatenate(tails), return_counts=True)
+        token, count = np.concatenate([token, other[more > 1]]), np.concatenate([count, more[more > 1]])
         yield pa.RecordBatch.from_arrays([_long(token.view(np.int64)), _long(count)], names=["token", "c"])
 
     counts = map_batches(rows, lambda: step, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -92,56 +105,61 @@ def _frequent_tokens(rows: DataFrame) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, salt, key, n) of the prefixes under order 1, once for each class and batch."""
+    """(token, salt, key, n, pos, own) of the prefixes under order 1, once for each class and slice; own: tokens not frequent."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         often = shared.value
 
         def step(batch: pa.RecordBatch):
-            tokens, salts, keys, sizes, seen = [], [], [], [], set()
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                if not len(s):
-                    continue
-                key = _keys(s)[0]
-                if key in seen:
-                    continue
-                seen.add(key)
-                at = np.searchsorted(often, s)
-                last = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
-                p = prefix_length(len(s))
-                chosen = np.concatenate([s[~last], s[last]])[:p]
-                own = len(s) - int(last.sum())
-                tokens.append(chosen)
-                salts.append(np.where(np.arange(len(chosen)) < own, 0, 1 + key % SALTS))
-                keys.append(np.full(len(chosen), key, np.int64))
-                sizes.append(np.full(len(chosen), len(s), np.int32))
-            if tokens:
+            for _, _, f in _slices(batch):
+                key = f.keys(5)
+                once = np.zeros(len(key), bool)
+                once[np.unique(key, return_index=True)[1]] = True
+                last = np.zeros(len(f.code), bool)
+                if len(often):
+                    last = often[np.minimum(np.searchsorted(often, f.code), len(often) - 1)] == f.code
+                behind = np.cumsum(last) - last  # frequent tokens before, over all sets
+                behind = behind - behind[np.minimum(f.first, max(len(behind) - 1, 0))][f.of] if len(behind) else behind
+                own = f.size - f.sums(last.astype(np.int64))
+                place = np.where(last, own[f.of] + behind, f.rank - behind)
+                chosen = (place < prefix_length(f.size)[f.of]) & once[f.of]
+                of = f.of[chosen]
+                salt = np.where(last[chosen], 1 + key[of] % SALTS, 0)
+                small = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)),
-                     _long(np.concatenate(keys)), pa.array(np.concatenate(sizes))],
-                    names=["token", "salt", "key", "n"],
+                    [_long(f.code[chosen].view(np.int64)), small(salt), _long(key[of]), small(f.size[of]), small(place[chosen]), small(own[of])],
+                    names=["token", "salt", "key", "n", "pos", "own"],
                 )
 
         return step
 
-    return map_batches(rows, make, "token long, salt int, key long, n int")
+    return map_batches(rows, make, "token long, salt int, key long, n int, pos int, own int")
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the wanted classes (doc_id of one member, key), from the whole texts again."""
+    """(key, tokens) of the wanted classes (doc_id of one member, key), from the whole texts again.
+
+    Texts travel packed to the partition of their id; repeated rows are taken once.
+    """
+
+    def pack(batch: pa.RecordBatch):
+        small = pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["doc_id", "packed"])
 
     def step(batch: pa.RecordBatch):
-        sets = list(shingle_sets(batch.column(1).to_pylist()))
-        keys = _long([_keys(s)[0] if len(s) else 0 for s in sets])
-        packed = list_array([s.tobytes() for s in sets], "<i8", pa.int64())
-        yield pa.RecordBatch.from_arrays([keys, batch.column(2), packed], names=["key", "wanted", "tokens"])
+        texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+        for low, sets in shingle_slices(texts):
+            packed = list_array([s.tobytes() for s in sets], "<i8", pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [_long(Flat(sets).keys(5)), batch.column(1).slice(low, len(sets)), packed], names=["key", "wanted", "tokens"])
 
-    found = map_batches(
-        rows.join(wanted.select("doc_id", F.col("key").alias("wanted")), "doc_id").select("doc_id", "text", "wanted"),
-        lambda: step, "key long, wanted long, tokens array<long>",
-    )
-    return cut(found.where("key = wanted").select("key", "tokens").dropDuplicates(["key"]))
+    sent = map_batches(rows, lambda: pack, "doc_id long, packed binary")
+    found = sent.join(wanted.select("doc_id", F.col("key").alias("wanted")), "doc_id")
+    first = W.partitionBy("doc_id", "h").orderBy("wanted")
+    found = found.withColumn("h", F.xxhash64("packed")).withColumn("r", F.row_number().over(first)).where("r = 1")
+    made = map_batches(found.select("packed", "wanted"), lambda: step, "key long, wanted long, tokens array<long>")
+    return cut(made.where("key = wanted").select("key", "tokens"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,22 +191,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), lambda: step, "a long, b long")
 
 
-def _alike(n: str, m: str):
-    """Sizes near enough for the threshold."""
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+def _alike(x: str, y: str):
+    """Sizes near enough, and enough tokens from the shared one on: the first shared token of similar sets passes."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * rest >= PERCENT * (n + m))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    a, b = F.col("x.key"), F.col("y.key")
+    return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): enough links of classes that their components are those of all links."""
-    posts = _postings(rows, _frequent_tokens(rows)).repartition("token", "salt").dropDuplicates(["token", "salt", "key"])
-    parts = posts.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("c"))
-    parts = parts.where((F.col("c") > 1) | (F.col("salt") > 0)).select("token", "salt")
-    lists = cut(posts.join(parts, ["token", "salt"]))
+    posts = _postings(rows, _frequent_tokens(rows))
+    one = W.partitionBy("token", "salt")
+    ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)})
+    lists = cut(ends.where("low < high or salt > 0").select("token", "salt", "key", "n", "pos", "own").dropDuplicates(["token", "salt", "key"]))
     wanted = lists.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("doc_id"))
     sets = _candidate_sets(rows, wanted)
     comps = sets.select(F.col("key").alias("node"), F.col("key").alias("comp"))
     links = None
-    tried = None
+    tried, before = None, 0
     for r in range(ROUNDS + 1):
         state = lists.join(comps.withColumnRenamed("node", "key"), "key")
         spread = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -200,22 +225,22 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         sizes = cut(mixed).agg(F.coalesce(F.sum("rest"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if not sizes[0]:
             break
-        last = r == ROUNDS or (r > 0 and sizes[0] <= 2 * REST * sizes[1])
+        last = r == ROUNDS or (r > 0 and (sizes[0] <= 2 * REST * sizes[1] or sizes[0] > 0.75 * before))
+        before = sizes[0]
+        row = F.struct("key", "n", "pos", "comp")
         if last:
-            x = state.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = state.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "token").where((F.col("ca") < F.col("cb")) & _alike("na", "nb"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            x, y = state.select("token", row.alias("x")), state.select("token", row.alias("y"))
+            pairs = _pairs(x.join(y, (x.token == y.token) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y")))
         else:
-            seat = F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), "key", "n", "comp"))
+            # the class with the fewest tokens of its own stands nearest to the others of its list; later pivots are random
+            rank = F.col("own") / F.col("n") if r == 0 else F.lit(0.0)
+            seat = F.min(F.struct(rank.alias("r"), F.xxhash64("key", F.lit(r)).alias("h"), row.alias("v")))
             heads = state.groupBy("token", "salt").agg(seat.alias("p"))
-            far = state.join(heads, ["token", "salt"]).where("comp <> p.comp").select(
-                "key", "n", F.col("p.key").alias("pk"), F.col("p.n").alias("pn"))
-            top = heads.groupBy("token").agg(F.min("p").alias("q"))
-            high = heads.where("salt > 0").join(top, "token").where("p.comp <> q.comp").select(
-                F.col("p.key").alias("key"), F.col("p.n").alias("n"), F.col("q.key").alias("pk"), F.col("q.n").alias("pn"))
-            pairs = far.unionByName(high).where(_alike("n", "pn")).select(
-                F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b"))
+            far = state.select("token", "salt", row.alias("x")).join(
+                heads.select("token", "salt", F.col("p.v").alias("y")), ["token", "salt"]).where("x.comp <> y.comp")
+            top = heads.groupBy("token").agg(F.min("p").alias("q")).select("token", F.col("q.v").alias("y"))
+            high = heads.where("salt > 0").select("token", F.col("p.v").alias("x")).join(top, "token").where("x.comp <> y.comp")
+            pairs = _pairs(far.where(_alike("x", "y"))).unionByName(_pairs(high.where(_alike("x", "y"))))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -58,13 +58,39 @@ def _codes(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 def shingle_sets(texts: list[str], size: int = 5) -> Iterator[np.ndarray]:
     """For each text its distinct shingle codes, ascending; fewer words than ``size`` are one shingle, none are none."""
-    part, chars = [], 0
-    for t in texts:
+    for _, sets in shingle_slices(texts, size):
+        yield from sets
+
+
+def shingle_slices(texts: list[str], size: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(index of the first text, sets) of slices of the texts, each of about SLICE bytes."""
+    part, chars, low = [], 0, 0
+    for i, t in enumerate(texts):
         raw = t.encode("utf-8", "surrogatepass")
         part.append(raw)
         chars += len(raw)
         if chars >= SLICE:
-            yield from _codes(part, size)
-            part, chars = [], 0
+            yield low, _codes(part, size)
+            part, chars, low = [], 0, i + 1
     if part:
-        yield from _codes(part, size)
+        yield low, _codes(part, size)
+
+
+class Flat:
+    """Sets laid end to end: codes, the sets' sizes, and each code's set and rank in it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.code = np.concatenate([np.zeros(0, np.uint64), *sets])
+        self.of = np.repeat(np.arange(len(sets)), self.size)
+        self.first = np.cumsum(self.size) - self.size
+        self.rank = np.arange(len(self.code)) - self.first[self.of]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums by set (wrapping)."""
+        total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+        return total[self.first + self.size] - total[self.first]
+
+    def keys(self, salt: int) -> np.ndarray:
+        """A 64-bit code of each set."""
+        return mix(self.sums(mix(self.code, salt)) + self.size.astype(np.uint64), salt + 1).view(np.int64)
