@@ -32,6 +32,8 @@ join and kept by ``one_of_each``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,12 +44,12 @@ from pyspark.sql import functions as F
 from scoutml.llm.common import keyed_text, list_array, map_batches
 from scoutml.llm.components import connected_components
 from scoutml.llm.shingles import Flat, mix, shingle_slices
-from scoutml.session import cut
+from scoutml.session import cut, shuffle_partitions
 
 #: linked if PERCENT * union <= 100 * intersection
 PERCENT = 80
 #: tokens put last in order 1, and the least number of prefixes they stand in
-FREQUENT, LEAST_LIST = 100_000, 16
+FREQUENT, LEAST_LIST = 200_000, 3
 SALTS = 16
 #: star rounds at most before all remaining pairs are compared, and what may remain beside the lists
 ROUNDS, REST = 6, 2.0
@@ -137,10 +139,12 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return map_batches(rows, make, "token long, salt int, key long, n int, pos int, own int")
 
 
-def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the wanted classes (doc_id of one member, key), from the whole texts again.
+def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
+    """Name of a table (doc_id, key, tokens) of the wanted classes (doc_id of one member, key), from the whole texts again.
 
-    Texts travel packed to the partition of their id; repeated rows are taken once.
+    Texts travel packed to the partition of their id; repeated rows are taken
+    once.  The table is bucketed by that id in the shared warehouse, so that no
+    later join moves the sets again.
     """
 
     def pack(batch: pa.RecordBatch):
@@ -152,17 +156,21 @@ def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for low, sets in shingle_slices(texts):
             packed = list_array([s.tobytes() for s in sets], "<i8", pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [_long(Flat(sets).keys(5)), batch.column(1).slice(low, len(sets)), packed], names=["key", "wanted", "tokens"])
+                [_long(Flat(sets).keys(5)), batch.column(1).slice(low, len(sets)), batch.column(2).slice(low, len(sets)), packed],
+                names=["key", "wanted", "doc_id", "tokens"])
 
     sent = map_batches(rows, lambda: pack, "doc_id long, packed binary")
     found = sent.join(wanted.select("doc_id", F.col("key").alias("wanted")), "doc_id")
     first = W.partitionBy("doc_id", "h").orderBy("wanted")
     found = found.withColumn("h", F.xxhash64("packed")).withColumn("r", F.row_number().over(first)).where("r = 1")
-    made = map_batches(found.select("packed", "wanted"), lambda: step, "key long, wanted long, tokens array<long>")
-    return cut(made.where("key = wanted").select("key", "tokens"))
+    made = map_batches(found.select("packed", "wanted", "doc_id"), lambda: step, "key long, wanted long, doc_id long, tokens array<long>")
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+    good = made.where("key = wanted").select("doc_id", "key", "tokens")
+    good.write.bucketBy(shuffle_partitions(rows.sparkSession), "doc_id").saveAsTable(name, format="parquet")
+    return name
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of ``pairs`` that pass the filters of orders 2 and 3 and are similar."""
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -186,9 +194,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         good = np.array([linked(x, y) for x, y in zip(*sides)], dtype=bool)
         yield pa.RecordBatch.from_arrays([_long(a[good]), _long(b[good])], names=["a", "b"])
 
-    one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), lambda: step, "a long, b long")
+    side = lambda i, t: sets.select(F.col("doc_id").alias(i), F.col("tokens").alias(t))
+    ids = lambda k, i: classes.select(F.col("key").alias(k), F.col("first").alias(i))
+    named = pairs.join(ids("a", "ia"), "a").join(ids("b", "ib"), "b")
+    both = named.join(side("ia", "ta"), "ia").join(side("ib", "tb"), "ib")
+    return map_batches(both.select("a", "b", "ta", "tb"), lambda: step, "a long, b long")
 
 
 def _alike(x: str, y: str):
@@ -210,8 +220,10 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)})
     lists = cut(ends.where("low < high or salt > 0").select("token", "salt", "key", "n", "pos", "own").dropDuplicates(["token", "salt", "key"]))
     wanted = lists.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("doc_id"))
-    sets = _candidate_sets(rows, wanted)
-    comps = sets.select(F.col("key").alias("node"), F.col("key").alias("comp"))
+    wanted = cut(wanted)
+    name = _candidate_sets(rows, wanted)
+    sets = rows.sparkSession.table(name)
+    comps = wanted.select(F.col("key").alias("node"), F.col("key").alias("comp"))
     links = None
     tried, before = None, 0
     for r in range(ROUNDS + 1):
@@ -246,13 +258,15 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, sets)
+        found = _verified(pairs, sets, classes)
         links = cut(found if links is None else links.unionByName(found))
         comps = connected_components(links)
-        comps = cut(sets.select(F.col("key").alias("node")).join(comps, "node", "left").select(
+        comps = cut(wanted.select(F.col("key").alias("node")).join(comps, "node", "left").select(
             "node", F.coalesce("comp", "node").alias("comp")))
         if last:
             break
+    comps = cut(comps)
+    rows.sparkSession.sql(f"DROP TABLE {name}")
     return comps
 
 
