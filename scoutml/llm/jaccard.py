@@ -82,8 +82,13 @@ def _per_document(rows: DataFrame) -> DataFrame:
     return map_batches(rows, lambda: step, "doc_id long, n long, code long, code2 long")
 
 
+def _short(code: np.ndarray) -> np.ndarray:
+    """32 bits of a token, enough for a list that only changes the order."""
+    return (code >> np.uint64(7)).astype(np.uint32).view(np.int32)
+
+
 def _frequent_tokens(rows: DataFrame) -> np.ndarray:
-    """The most frequent tokens, bounded and sorted.
+    """The most frequent tokens (32 bits of them), bounded and sorted.
 
     Counted are the prefixes of the plain order, and beyond them what stands in
     several sets of one batch: once frequent tokens are put last, the prefix
@@ -91,23 +96,23 @@ def _frequent_tokens(rows: DataFrame) -> np.ndarray:
     """
 
     def step(batch: pa.RecordBatch):
-        heads, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        heads, tails = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for _, _, f in _slices(batch):
             head = f.rank < prefix_length(f.size)[f.of]
-            heads.append(f.code[head])
-            tails.append(f.code[~head])
+            heads.append(_short(f.code[head]))
+            tails.append(_short(f.code[~head]))
         token, count = np.unique(np.concatenate(heads), return_counts=True)
         other, more = np.unique(np.concatenate(tails), return_counts=True)
         token, count = np.concatenate([token, other[more > 1]]), np.concatenate([count, more[more > 1]])
-        yield pa.RecordBatch.from_arrays([_long(token.view(np.int64)), _long(count)], names=["token", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(token), _long(count)], names=["token", "c"])
 
-    counts = map_batches(rows, lambda: step, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = map_batches(rows, lambda: step, "token int, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") >= LEAST_LIST).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token")
-    return np.sort(np.array([r.token for r in top.collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(np.array([r.token for r in top.collect()], dtype=np.int32))
 
 
 def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, salt, key, n, pos, own) of the prefixes under order 1, once for each class and slice; own: tokens not frequent."""
+    """(token, salt, key, pos) of the prefixes under order 1, once for each class and slice."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
@@ -120,7 +125,8 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 once[np.unique(key, return_index=True)[1]] = True
                 last = np.zeros(len(f.code), bool)
                 if len(often):
-                    last = often[np.minimum(np.searchsorted(often, f.code), len(often) - 1)] == f.code
+                    short = _short(f.code)
+                    last = often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short
                 behind = np.cumsum(last) - last  # frequent tokens before, over all sets
                 behind = behind - behind[np.minimum(f.first, max(len(behind) - 1, 0))][f.of] if len(behind) else behind
                 own = f.size - f.sums(last.astype(np.int64))
@@ -128,15 +134,14 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 chosen = (place < prefix_length(f.size)[f.of]) & once[f.of]
                 of = f.of[chosen]
                 salt = np.where(last[chosen], 1 + key[of] % SALTS, 0)
-                small = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(f.code[chosen].view(np.int64)), small(salt), _long(key[of]), small(f.size[of]), small(place[chosen]), small(own[of])],
-                    names=["token", "salt", "key", "n", "pos", "own"],
+                    [_long(f.code[chosen].view(np.int64)), pa.array(salt.astype(np.int32)), _long(key[of]), _long(place[chosen])],
+                    names=["token", "salt", "key", "pos"],
                 )
 
         return step
 
-    return map_batches(rows, make, "token long, salt int, key long, n int, pos int, own int")
+    return map_batches(rows, make, "token long, salt int, key long, pos long")
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
@@ -218,7 +223,18 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     posts = _postings(rows, _frequent_tokens(rows))
     one = W.partitionBy("token", "salt")
     ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)})
-    lists = cut(ends.where("low < high or salt > 0").select("token", "salt", "key", "n", "pos", "own").dropDuplicates(["token", "salt", "key"]))
+    lists = ends.where("low < high or salt > 0").select("token", "salt", "key", "pos").dropDuplicates(["token", "salt", "key"])
+    # rows that can have no similar partner in their list, by sizes and places, go
+    lists = cut(lists).join(classes.select("key", "n"), "key")
+    all_of = W.partitionBy("token")
+    rest = F.col("n") - F.col("pos")
+    edge = {"c": F.count(F.lit(1)).over(all_of), "n0": F.min("n").over(all_of), "n1": F.max("n").over(all_of),
+            "r0": F.min(rest).over(all_of), "r1": F.max(rest).over(all_of)}
+    partner = F.greatest(F.col("n0"), F.ceil(F.col("n") * PERCENT / 100))
+    some = (100 + PERCENT) * F.least(rest, F.col("r1")) >= PERCENT * (F.col("n") + partner)
+    two = (100 * F.col("n0") >= PERCENT * F.col("n1")) & ((100 + PERCENT) * F.col("r0") >= PERCENT * (F.col("n0") + F.col("n1")))
+    lists = lists.withColumns(edge).where((F.col("c") > 1) & some & ((F.col("c") > 2) | two))
+    lists = cut(lists.select("token", "salt", "key", "n", "pos"))
     wanted = lists.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("doc_id"))
     wanted = cut(wanted)
     name = _candidate_sets(rows, wanted)
@@ -244,8 +260,8 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = state.select("token", row.alias("x")), state.select("token", row.alias("y"))
             pairs = _pairs(x.join(y, (x.token == y.token) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y")))
         else:
-            # the class with the fewest tokens of its own stands nearest to the others of its list; later pivots are random
-            rank = F.col("own") / F.col("n") if r == 0 else F.lit(0.0)
+            # the class with the fewest rare tokens before the shared one stands nearest to the others of its list; later pivots are random
+            rank = F.col("pos") / F.col("n") if r == 0 else F.lit(0.0)
             seat = F.min(F.struct(rank.alias("r"), F.xxhash64("key", F.lit(r)).alias("h"), row.alias("v")))
             heads = state.groupBy("token", "salt").agg(seat.alias("p"))
             far = state.select("token", "salt", row.alias("x")).join(
@@ -276,7 +292,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     each = cut(_per_document(rows))
     full = each.where("n > 0")
     classes = full.groupBy(F.col("code").alias("key")).agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min("code2").alias("x"), F.max("code2").alias("y"))
+        F.min("doc_id").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("code2").alias("x"), F.max("code2").alias("y"))
     classes = cut(classes)
     if classes.where("x <> y").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit code")
