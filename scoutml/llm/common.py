@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoutml.session import work_path
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -63,3 +66,26 @@ def load_tokenizer(name: str):
     tok.no_truncation()
     tok.no_padding()
     return tok
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = work_path(df.sparkSession, "llm-table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def tidy_shuffles(fn: Callable) -> Callable:
+    """Spark removes the shuffle files of each execution inside ``fn(df, ...)`` when it ends, not when the driver's garbage is collected."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name)
+        conf.set(name, "true")
+        try:
+            return fn(df, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return run

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutml.session import cut
+from scoutml.llm.common import stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``links`` (a, b).
 
     Each round halves path lengths at least; every round is written to the
-    shared checkpoint folder.  Ends when a round changes nothing.
+    shared folder.  Ends when a round changes nothing.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,11 +23,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     roots = roots.withColumn("comp", F.col("node"))
-    return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots))
+    return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots))

@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoutml.llm.common import keyed_text, list_array, map_batches
+from scoutml.llm.common import keyed_text, list_array, map_batches, stored, tidy_shuffles
 from scoutml.llm.components import connected_components
 from scoutml.llm.shingles import Flat, mix, shingle_slices
-from scoutml.session import cut, shuffle_partitions
+from scoutml.session import shuffle_partitions
 
 #: linked if PERCENT * union <= 100 * intersection
 PERCENT = 80
@@ -225,7 +225,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)})
     lists = ends.where("low < high or salt > 0").select("token", "salt", "key", "pos").dropDuplicates(["token", "salt", "key"])
     # rows that can have no similar partner in their list, by sizes and places, go
-    lists = cut(lists).join(classes.select("key", "n"), "key")
+    lists = stored(lists).join(classes.select("key", "n"), "key")
     all_of = W.partitionBy("token")
     rest = F.col("n") - F.col("pos")
     edge = {"c": F.count(F.lit(1)).over(all_of), "n0": F.min("n").over(all_of), "n1": F.max("n").over(all_of),
@@ -234,9 +234,9 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     some = (100 + PERCENT) * F.least(rest, F.col("r1")) >= PERCENT * (F.col("n") + partner)
     two = (100 * F.col("n0") >= PERCENT * F.col("n1")) & ((100 + PERCENT) * F.col("r0") >= PERCENT * (F.col("n0") + F.col("n1")))
     lists = lists.withColumns(edge).where((F.col("c") > 1) & some & ((F.col("c") > 2) | two))
-    lists = cut(lists.select("token", "salt", "key", "n", "pos"))
+    lists = stored(lists.select("token", "salt", "key", "n", "pos"))
     wanted = lists.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("doc_id"))
-    wanted = cut(wanted)
+    wanted = stored(wanted)
     name = _candidate_sets(rows, wanted)
     sets = rows.sparkSession.table(name)
     comps = wanted.select(F.col("key").alias("node"), F.col("key").alias("comp"))
@@ -249,8 +249,8 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"),
             (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("rest"),
         ).where("k > 1")
-        state = cut(state.join(mixed.select("token"), "token"))
-        sizes = cut(mixed).agg(F.coalesce(F.sum("rest"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        state = stored(state.join(mixed.select("token"), "token"))
+        sizes = stored(mixed).agg(F.coalesce(F.sum("rest"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if not sizes[0]:
             break
         last = r == ROUNDS or (r > 0 and (sizes[0] <= 2 * REST * sizes[1] or sizes[0] > 0.75 * before))
@@ -272,34 +272,35 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = stored(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _verified(pairs, sets, classes)
-        links = cut(found if links is None else links.unionByName(found))
+        links = stored(found if links is None else links.unionByName(found))
         comps = connected_components(links)
-        comps = cut(wanted.select(F.col("key").alias("node")).join(comps, "node", "left").select(
+        comps = stored(wanted.select(F.col("key").alias("node")).join(comps, "node", "left").select(
             "node", F.coalesce("comp", "node").alias("comp")))
         if last:
             break
-    comps = cut(comps)
+    comps = stored(comps)
     rows.sparkSession.sql(f"DROP TABLE {name}")
     return comps
 
 
+@tidy_shuffles
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = keyed_text(docs, key, text)
-    each = cut(_per_document(rows))
+    each = stored(_per_document(rows))
     full = each.where("n > 0")
     classes = full.groupBy(F.col("code").alias("key")).agg(
         F.min("doc_id").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("code2").alias("x"), F.max("code2").alias("y"))
-    classes = cut(classes)
+    classes = stored(classes)
     if classes.where("x <> y").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit code")
     comps = _links(rows, classes)
     named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(lowest, "comp").select("key", "size", "component_id"))
+    named = stored(named.join(lowest, "comp").select("key", "size", "component_id"))
     # Classes with a thousandth of all rows number at most 1,000: these are joined by broadcast, the rest by their key.
     total = each.count()
     big = named.where(F.col("size") * 1000 >= total).select("key", F.col("component_id").alias("big_id"))
