@@ -58,7 +58,8 @@ def stratified_kfold(df: DataFrame, order_col: str, label_col: str, k: int = 5,
         total = total + share(i)
         cum.append(total.alias(f"_c{i}"))
     sizes = sizes.select(label_col, *cum)
-    joined = ranked.join(sizes, label_col)
+    sizes = sizes.withColumnRenamed(label_col, "_label")  # a null label is a class of its own
+    joined = ranked.join(sizes, ranked[label_col].eqNullSafe(sizes["_label"])).drop("_label")
     fold = F.lit(k - 1)
     for i in reversed(range(k - 1)):
         fold = F.when(F.col("_r") < F.col(f"_c{i}"), F.lit(i)).otherwise(fold)

@@ -143,7 +143,7 @@ class KNN(Learner):
             nn = NB.knn(q, refs, k, metric=metric, payload=LABEL)
             if task == "classification":
                 pred = NB.vote(nn, LABEL, weights)
-                shares = NB.class_shares(nn, LABEL)
+                shares = NB.class_shares(nn, LABEL, weights)
                 prob = shares.groupBy("lid").agg(
                     F.array(*[F.sum(F.when(F.col(LABEL) == c, F.col("p")).otherwise(0.0)) for c in range(n_classes)]).alias("probability")
                 )

@@ -153,13 +153,14 @@ class LinearFamily(Learner):
             est = RG.LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=1.0, maxIter=int(p.get("max_iter", 5000)), **kw)
         elif self.kind == "elastic net":
             alpha, r = float(p.get("alpha", 1.0)), float(p.get("l1_ratio", 0.5))
-            sd = train.agg(F.stddev_samp(LABEL)).first()[0] or 1.0
+            sd = train.agg(F.stddev_pop(LABEL)).first()[0] or 1.0
             l1, l2 = alpha * r, alpha * (1 - r) * sd
             tot = l1 + l2
             est = RG.LinearRegression(regParam=tot, elasticNetParam=(l1 / tot) if tot > 0 else 0.0, maxIter=int(p.get("max_iter", 5000)), **kw)
         elif self.kind == "huber":
             est = RG.LinearRegression(loss="huber", epsilon=max(float(p.get("epsilon", 1.35)), 1.0 + 1e-9),
-                                      regParam=float(p.get("alpha", 1e-4)), elasticNetParam=0.0, maxIter=int(p.get("max_iter", 500)), **kw)
+                                      regParam=float(p.get("alpha", 1e-4)) / max(train.count(), 1), elasticNetParam=0.0,
+                                      maxIter=int(p.get("max_iter", 500)), **kw)
         else:
             raise ValueError(self.kind)
         return _wrap(est.fit(train), False)
@@ -200,13 +201,13 @@ class SVM(Learner):
         if kernel == "rbf":
             tf = random_fourier(train, p.get("gamma", "scale"), seed=self.seed)
         elif kernel == "poly":
-            pe = PolynomialExpansion(degree=2, inputCol=FEATURES, outputCol="_poly")
+            pe = PolynomialExpansion(degree=3, inputCol=FEATURES, outputCol="_poly")
             tf = lambda df: pe.transform(df).drop(FEATURES).withColumnRenamed("_poly", FEATURES)
         else:
             tf = lambda df: df
         tr = tf(train).cache()
         n = tr.count()
-        svc = C.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100, featuresCol=FEATURES, labelCol=LABEL)
+        svc = C.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100, standardization=False, featuresCol=FEATURES, labelCol=LABEL)
         est = svc if self.n_classes <= 2 else C.OneVsRest(classifier=svc, parallelism=4, featuresCol=FEATURES, labelCol=LABEL)
         model = est.fit(tr)
 

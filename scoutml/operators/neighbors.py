@@ -438,11 +438,16 @@ def vote(neigh: DataFrame, label: str, weights: str = "uniform") -> DataFrame:
     )
 
 
-def class_shares(neigh: DataFrame, label: str) -> DataFrame:
-    """Uniform neighbour class shares (the kNN ``predict_proba``): ``(lid, label, p)``."""
+def class_shares(neigh: DataFrame, label: str, weights: str = "uniform") -> DataFrame:
+    """Neighbour class shares (the kNN ``predict_proba``) under the same weights as ``vote``: ``(lid, label, p)``."""
     tot = F.sum("_c").over(Window.partitionBy("lid"))
+    count = F.count(F.lit(1))
+    if weights == "distance":
+        zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("lid"))
+        near = F.when(zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
+        neigh, count = neigh.withColumn("_w", near), F.sum("_w")
     return (
-        neigh.groupBy("lid", label).agg(F.count(F.lit(1)).alias("_c"))
+        neigh.groupBy("lid", label).agg(count.alias("_c"))
         .withColumn("p", F.col("_c") / tot)
         .drop("_c")
     )

@@ -236,8 +236,10 @@ def anova_f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFr
         F.first("n").alias("n"),
         F.first("K").alias("K"),
     )
-    f = (F.col("ssb") / (F.col("K") - 1)) / (F.col("ssw") / (F.col("n") - F.col("K")))
-    f = F.when(F.col("ssw") == 0, F.when(F.col("ssb") > 0, F.lit(float("inf")))).otherwise(f)
+    within = F.when(F.col("n") > F.col("K"), F.col("ssw") / (F.col("n") - F.col("K")))
+    f = F.when(F.col("K") > 1, F.col("ssb") / (F.col("K") - 1)) / F.when(within > 0, within)
+    perfect = (F.col("ssw") == 0) & (F.col("ssb") > 0)
+    f = F.when(perfect, F.lit(float("inf"))).otherwise(f)  # one class, or as many classes as rows: null
     return _rank_scores(agg.select("j", f.alias("f_score")), features)
 
 
@@ -249,7 +251,8 @@ def f_regression_scores(df: DataFrame, features: Sequence[str], label: str) -> D
     stack = ", ".join(f"{i}, r{i}" for i in range(len(features)))
     long = row.selectExpr("n", f"stack({len(features)}, {stack}) as (j, r)")
     r = F.when(F.isnan("r"), None).otherwise(F.col("r"))
-    f = r * r / (1 - r * r) * (F.col("n") - 2)
+    left = 1 - r * r
+    f = F.when(left <= 0, F.lit(float("inf"))).otherwise(r * r / F.when(left > 0, left) * (F.col("n") - 2))
     return _rank_scores(long.select("j", f.alias("f_score")), features)
 
 

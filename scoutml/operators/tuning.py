@@ -110,7 +110,10 @@ def f_scores(train: DataFrame, task: str, col: str = "inter") -> np.ndarray:
     out = []
     for j in range(d):
         rj = r[f"r{j}"]
-        out.append(np.nan if rj is None or math.isnan(rj) or abs(rj) >= 1 else rj * rj / (1 - rj * rj) * (r["n"] - 2))
+        if rj is not None and abs(rj) >= 1:  # a perfect feature comes first
+            out.append(np.inf)
+            continue
+        out.append(np.nan if rj is None or math.isnan(rj) else rj * rj / (1 - rj * rj) * (r["n"] - 2))
     return np.array(out)
 
 

@@ -157,7 +157,7 @@ def scalar_strings(spark: SparkSession, sf: str) -> DataFrame:
     cv = table(spark, sf, "conversations")
     return cv.select(
         "conv_id", "turn",
-        S.normalize(F.substring("text", 1, 40)).alias("norm"),
+        S.normalize("text").alias("norm"),
         F.lower("text").contains("de").alias("has_de"),
         F.length(F.replace("text", F.lit("\n"), F.lit(" "))).alias("len_replaced"),
         F.size(S.split_trimmed("text", ",")).alias("n_parts"),
@@ -337,7 +337,7 @@ ORACLE = {
     "kfold_assign": "SELECT c_custkey AS row_id, CAST(ntile(5) OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS fold FROM customer",
     "stratified_kfold": _strat_sql(),
     "scalar_strings": r"""SELECT conv_id, turn,
-        lower(regexp_replace(substring(text, 1, 40), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) AS norm,
+        lower(regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) AS norm,
         contains(lower(text), 'de') AS has_de,
         length(replace(text, chr(10), ' ')) AS len_replaced,
         CAST(len(list_filter(list_transform(string_split(text, ','),

@@ -37,5 +37,5 @@ def test_d5_zero_is_a_value():
 
 
 def test_d14_name_resolution():
-    assert resolve_model_name("gbm") == "lightgbm"  # substring rule on the driver list
+    assert resolve_model_name("gbm") == "gradient boosting" and resolve_model_name("") is None  # alias table first
     assert resolve_model_name("Bayesian Ridge") == "bayesian ridge"  # exact key wins (D2)
