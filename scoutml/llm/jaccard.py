@@ -12,16 +12,18 @@ n - ceil(t n) + 1 tokens) share one.
   token are not expanded into pairs: a list is compared with one pivot of its
   own, the classes that are found linked become one component, and lists whose
   classes are in one component are done.  The first pivot is the class with the
-  smallest share of rare tokens (an original among its edited copies), others
-  follow in further rounds as long as they join enough.  All remaining pairs of
-  one list in different components are then compared, if sizes and the places of
-  the shared token leave room for the threshold (the first shared token of two
-  similar sets always does), so no link between components is lost.
+  smallest share of rare tokens (an original among its edited copies).  Each
+  further round draws ``MORE`` times more pivots for the lists that are still
+  mixed and compares them with the list's classes of other components, if sizes
+  and the places of the shared token leave room for the threshold (the first
+  shared token of two similar sets always does).  A list no longer than its
+  number of pivots is thereby compared in full and done, so the rounds end and no
+  link between components is lost.
 * A pair must also share a prefix token under orders 2 and 3 (other hash
   orders); only pairs that pass all filters are verified on their whole sets.
 
-Lists of frequent tokens are split by a salt, with a pivot for each part and a
-pivot of pivots.  Codes are 64-bit hashes of whole shingles; classes are told
+Lists of frequent tokens are split by a salt: in the first round with a pivot for
+each part and a pivot of pivots, later with the pivots copied to every part.  Codes are 64-bit hashes of whole shingles; classes are told
 apart by a 64-bit code, checked by a second one (a clash raises).
 
 Edge cases: a null, empty or blank text has no shingles and is linked with
@@ -51,8 +53,8 @@ PERCENT = 80
 #: tokens put last in order 1, and the least number of prefixes they stand in
 FREQUENT, LEAST_LIST = 200_000, 3
 SALTS = 16
-#: star rounds at most before all remaining pairs are compared, and what may remain beside the lists
-ROUNDS, REST = 6, 2.0
+#: how many times more pivots a list gets in each further round
+MORE = 64
 
 
 def prefix_length(n):
@@ -240,35 +242,36 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     name = _candidate_sets(rows, wanted)
     sets = rows.sparkSession.table(name)
     comps = wanted.select(F.col("key").alias("node"), F.col("key").alias("comp"))
-    links = None
-    tried, before = None, 0
-    for r in range(ROUNDS + 1):
+    links = tried = None
+    pivots, done = 1, 1  # pivots of a list in this round, and the length up to which lists have been compared in full
+    while True:
         state = lists.join(comps.withColumnRenamed("node", "key"), "key")
         spread = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = spread.groupBy("token").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"),
-            (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("rest"),
-        ).where("k > 1")
-        state = stored(state.join(mixed.select("token"), "token"))
-        sizes = stored(mixed).agg(F.coalesce(F.sum("rest"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not sizes[0]:
+        mixed = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where((F.col("k") > 1) & (F.col("all") > done))
+        state = stored(state.join(mixed.select("token", "all"), "token"))
+        if state.isEmpty():
             break
-        last = r == ROUNDS or (r > 0 and (sizes[0] <= 2 * REST * sizes[1] or sizes[0] > 0.75 * before))
-        before = sizes[0]
         row = F.struct("key", "n", "pos", "comp")
-        if last:
-            x, y = state.select("token", row.alias("x")), state.select("token", row.alias("y"))
-            pairs = _pairs(x.join(y, (x.token == y.token) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y")))
-        else:
-            # the class with the fewest rare tokens before the shared one stands nearest to the others of its list; later pivots are random
-            rank = F.col("pos") / F.col("n") if r == 0 else F.lit(0.0)
-            seat = F.min(F.struct(rank.alias("r"), F.xxhash64("key", F.lit(r)).alias("h"), row.alias("v")))
+        if pivots == 1:
+            # the class with the fewest rare tokens before the shared one stands nearest to the others of its list
+            seat = F.min(F.struct((F.col("pos") / F.col("n")).alias("r"), F.xxhash64("key").alias("h"), row.alias("v")))
             heads = state.groupBy("token", "salt").agg(seat.alias("p"))
             far = state.select("token", "salt", row.alias("x")).join(
                 heads.select("token", "salt", F.col("p.v").alias("y")), ["token", "salt"]).where("x.comp <> y.comp")
             top = heads.groupBy("token").agg(F.min("p").alias("q")).select("token", F.col("q.v").alias("y"))
             high = heads.where("salt > 0").select("token", F.col("p.v").alias("x")).join(top, "token").where("x.comp <> y.comp")
             pairs = _pairs(far.where(_alike("x", "y"))).unionByName(_pairs(high.where(_alike("x", "y"))))
+            done = 2
+        else:
+            # a class that is drawn is a pivot in all its lists that are long enough for the draw
+            draw = F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(1 << 30))
+            state = state.withColumn("pivot", (F.col("all") <= pivots) | (draw * F.col("all") < pivots * (1 << 30)))
+            parts = F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+            x = state.select("token", "salt", "pivot", row.alias("x"))
+            y = state.where("pivot").select("token", F.explode(parts).alias("salt"), row.alias("y"))
+            once = F.expr("x.comp <> y.comp and (not pivot or x.key < y.key)")
+            pairs = _pairs(x.join(y, ["token", "salt"]).where(once & _alike("x", "y")))
+            done = pivots
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -276,11 +279,9 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _verified(pairs, sets, classes)
         links = stored(found if links is None else links.unionByName(found))
-        comps = connected_components(links)
-        comps = stored(wanted.select(F.col("key").alias("node")).join(comps, "node", "left").select(
-            "node", F.coalesce("comp", "node").alias("comp")))
-        if last:
-            break
+        comps = wanted.select(F.col("key").alias("node")).join(connected_components(links), "node", "left")
+        comps = stored(comps.select("node", F.coalesce("comp", "node").alias("comp")))
+        pivots *= MORE
     comps = stored(comps)
     rows.sparkSession.sql(f"DROP TABLE {name}")
     return comps
