@@ -43,9 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoutml.llm.common import keyed_text, list_array, map_batches, stored, tidy_shuffles
+from scoutml.llm.common import keyed_text, map_batches, stored, tidy_shuffles
 from scoutml.llm.components import connected_components
-from scoutml.llm.shingles import Flat, mix, shingle_slices
+from scoutml.llm.shingles import Flat, mix, shingle_sets, shingle_slices
 from scoutml.session import shuffle_partitions
 
 #: linked if PERCENT * union <= 100 * intersection
@@ -66,6 +66,10 @@ def _long(values) -> pa.Array:
     return pa.array(values, type=pa.int64())
 
 
+def _unpacked(packed: bytes) -> str:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _slices(batch: pa.RecordBatch):
     for low, sets in shingle_slices(batch.column(1).to_pylist()):
         yield low, sets, Flat(sets)
@@ -147,11 +151,12 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
-    """Name of a table (doc_id, key, tokens) of the wanted classes (doc_id of one member, key), from the whole texts again.
+    """Name of a table (doc_id, key, packed) of the wanted classes (doc_id of one member, key), from the whole texts again.
 
     Texts travel packed to the partition of their id; repeated rows are taken
     once.  The table is bucketed by that id in the shared warehouse, so that no
-    later join moves the sets again.
+    later join moves it again.  It holds the packed texts, a quarter of the size
+    of their sets.
     """
 
     def pack(batch: pa.RecordBatch):
@@ -159,20 +164,17 @@ def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
         yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["doc_id", "packed"])
 
     def step(batch: pa.RecordBatch):
-        texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-        for low, sets in shingle_slices(texts):
-            packed = list_array([s.tobytes() for s in sets], "<i8", pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [_long(Flat(sets).keys(5)), batch.column(1).slice(low, len(sets)), batch.column(2).slice(low, len(sets)), packed],
-                names=["key", "wanted", "doc_id", "tokens"])
+        for low, sets in shingle_slices([_unpacked(t) for t in batch.column(0).to_pylist()]):
+            packed, wanted, doc = (batch.column(i).slice(low, len(sets)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([_long(Flat(sets).keys(5)), wanted, doc, packed], names=["key", "wanted", "doc_id", "packed"])
 
     sent = map_batches(rows, lambda: pack, "doc_id long, packed binary")
     found = sent.join(wanted.select("doc_id", F.col("key").alias("wanted")), "doc_id")
     first = W.partitionBy("doc_id", "h").orderBy("wanted")
     found = found.withColumn("h", F.xxhash64("packed")).withColumn("r", F.row_number().over(first)).where("r = 1")
-    made = map_batches(found.select("packed", "wanted", "doc_id"), lambda: step, "key long, wanted long, doc_id long, tokens array<long>")
+    made = map_batches(found.select("packed", "wanted", "doc_id"), lambda: step, "key long, wanted long, doc_id long, packed binary")
     name = f"shingle_sets_{uuid.uuid4().hex}"
-    good = made.where("key = wanted").select("doc_id", "key", "tokens")
+    good = made.where("key = wanted").select("doc_id", "key", "packed")
     good.write.bucketBy(shuffle_partitions(rows.sparkSession), "doc_id").saveAsTable(name, format="parquet")
     return name
 
@@ -185,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
             heads = []
             for s in (x, y):
                 p = prefix_length(len(s))
-                h = mix(s.view(np.uint64), 100 + order)
+                h = mix(s, 100 + order)
                 heads.append(np.partition(h, p - 1)[:p])
             if not len(np.intersect1d(*heads)):
                 return False
@@ -193,15 +195,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
         return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
     def step(batch: pa.RecordBatch):
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sides = []
-        for c in (2, 3):
-            ends, flat = batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()
-            sides.append([flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())])
-        good = np.array([linked(x, y) for x, y in zip(*sides)], dtype=bool)
-        yield pa.RecordBatch.from_arrays([_long(a[good]), _long(b[good])], names=["a", "b"])
-
-    side = lambda i, t: sets.select(F.col("doc_id").alias(i), F.col("tokens").alias(t))
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+            x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+            texts = list(dict.fromkeys(x + y))
+            found = dict(zip(texts, shingle_sets([_unpacked(t) for t in texts])))
+            good = np.array([linked(found[s], found[t]) for s, t in zip(x, y)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([_long(a[good]), _long(b[good])], names=["a", "b"])
+
+    side = lambda i, t: sets.select(F.col("doc_id").alias(i), F.col("packed").alias(t))
     ids = lambda k, i: classes.select(F.col("key").alias(k), F.col("first").alias(i))
     named = pairs.join(ids("a", "ia"), "a").join(ids("b", "ib"), "b")
     both = named.join(side("ia", "ta"), "ia").join(side("ib", "tb"), "ib")
