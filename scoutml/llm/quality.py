@@ -9,11 +9,15 @@ and scatter from them, and again ``STEPS`` times.  Rows whose squared Mahalanobi
 distance from their group's estimate passes ``CUTOFF`` are rejected, as are those
 that fail the base rules.
 
-Estimates hold a group only if it has at least ``MIN_ROWS`` rows and 1 in 1,000
-of all; rows of smaller groups take their language's estimate by the same rule,
-and else that of all rows.  So there are never more than 2,001 estimates, which
-are broadcast; texts are never shuffled.  Rates are whole numbers
-(thousandths) and their sums decimals, medians and the support's bound are taken
+A group has an estimate of its own if it holds at least ``MIN_ROWS`` rows that
+pass the base rules, however large the table is; rows of smaller groups take
+their language's estimate by the same rule, and else that of all rows.  Groups
+with one in ``HOT`` of the rows (at most ``HOT`` a level) are joined by
+broadcast, the rates of the others by a shuffle on the group.  ``keep_good``
+judges texts of hot groups where they lie; of the others it drops those whose
+group and rates were rejected, by a join that leaves the texts in place as long
+as Spark broadcasts the rejected rates, and else moves them once.  Rates are
+whole numbers (thousandths) and their sums decimals, medians and the support's bound are taken
 over whole numbers of small range (exact, and a group's state is bounded): the
 result does not depend on partitions or their order.  ``FLOOR`` is added to the
 scatter's diagonal, since a rate may be 0 nearly everywhere.
@@ -31,6 +35,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutml.llm.common import stored
 from scoutml.session import cut
 
 WINDOW = 5
@@ -41,7 +46,9 @@ SHRINK = 20
 #: least standard deviation of each, in thousandths
 FLOOR = (80.0, 60.0, 110.0, 160.0, 90.0)
 SUPPORT, STEPS, CUTOFF = 0.75, 3, 25.0
-MIN_ROWS, MIN_SHARE = 100, 0.001
+MIN_ROWS = 100
+#: groups with one row in so many are joined by broadcast
+HOT = 1000
 _BINS_PER_OCTAVE = 32
 
 
@@ -151,7 +158,7 @@ def _factor(est: DataFrame) -> DataFrame:
             for i in range(j + 1, d)
         }
         est = est.withColumns(below) if below else est
-    return est.select("grp", *[f"m_{i}" for i in range(d)], *[f"L_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    return est.select("grp", "hot", *[f"m_{i}" for i in range(d)], *[f"L_{i}_{j}" for i in range(d) for j in range(i + 1)])
 
 
 def _distance(est: str = "__e", rates: list[Column] | None = None) -> Column:
@@ -167,8 +174,30 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log2(F.lit(1.0) + distance) * _BINS_PER_OCTAVE).cast("int")
 
 
+def _large(sizes: DataFrame, total: int) -> DataFrame:
+    """``sizes`` with a flag ``hot`` for its count ``n``."""
+    return sizes.withColumn("hot", F.col("n") * HOT >= total).drop("n")
+
+
+def _tag(rows: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the flag ``hot`` of their keys in ``side``."""
+    hot = F.broadcast(side.where("hot").select(*keys, "hot"))
+    return rows.join(hot, list(keys), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def _any_cold(side: DataFrame) -> bool:
+    return not side.where(~F.col("hot")).isEmpty()
+
+
+def _meet(rows: DataFrame, side: DataFrame, *keys: str, cold: bool = True) -> DataFrame:
+    """Inner join on the keys, unique in ``side``; both have ``hot``: those by broadcast, the others (``cold``: there are any) by a shuffle."""
+    on = [*keys, "hot"]
+    hot = rows.where("hot").join(F.broadcast(side.where("hot")), on)
+    return hot if not cold else hot.unionByName(rows.where(~F.col("hot")).join(side.where(~F.col("hot")), on))
+
+
 def fit(counted: DataFrame, lang: str = "lang", source: str = "source", counts: str = "__q") -> DataFrame:
-    """Estimates (grp, m_i, L_i_j) of all groups large enough; at most 2,001 rows, written to the shared folder."""
+    """Estimates (grp, hot, m_i, L_i_j) of all groups large enough, written to the shared folder."""
     d = len(RATES)
     stats = counted.where(~F.col(f"{counts}.base_failed")).select(
         _group(F.col(lang)).alias("lang"), _group(F.col(source)).alias("source"), *[F.col(f"{counts}.{r}").alias(r) for r in RATES]
@@ -177,30 +206,38 @@ def fit(counted: DataFrame, lang: str = "lang", source: str = "source", counts:
     levels = F.array(F.lit("*"), F.concat(F.lit("l"), "lang"), F.concat(F.lit("s"), "lang", F.lit("|"), "source"))
     sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select("n", F.explode(levels).alias("grp")).groupBy("grp").agg(F.sum("n").alias("n"))
-    total = F.lit(stats.count())
-    large = sizes.where((F.col("grp") == "*") | (F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * total)).select("grp")
-    rows = stats.select(*RATES, F.explode(levels).alias("grp")).join(F.broadcast(large), "grp")
-    medians = rows.groupBy("grp").agg(*[F.percentile(r, 0.5).alias(f"m_{i}") for i, r in enumerate(RATES)])
-    spread = rows.join(F.broadcast(medians), "grp").groupBy("grp").agg(
+    large = cut(_large(sizes.where((F.col("grp") == "*") | (F.col("n") >= MIN_ROWS)), stats.count()))
+    each = stats.select(*RATES, F.explode(levels).alias("grp"))
+    rows = each.join(F.broadcast(large.where("hot").select("grp")), "grp").withColumn("hot", F.lit(True))
+    cold = _any_cold(large)
+    if cold:
+        others = cut(_meet(_tag(each, large, "grp").where(~F.col("hot")), large, "grp").drop("hot"))
+        rows = rows.unionByName(others.withColumn("hot", F.lit(False)))
+    medians = rows.groupBy("grp", "hot").agg(*[F.percentile(r, 0.5).alias(f"m_{i}") for i, r in enumerate(RATES)])
+    spread = _meet(rows, medians, "grp", cold=cold).groupBy("grp", "hot").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)],
         *[(F.percentile(F.round(F.abs(F.col(r) - F.col(f"m_{i}"))).cast("long"), 0.5) * 1.4826).alias(f"s_{i}") for i, r in enumerate(RATES)],
     )
     start = {f"C_{i}_{j}": (F.col(f"s_{i}") * F.col(f"s_{i}") + FLOOR[i] ** 2 if i == j else F.lit(0.0)) for i in range(d) for j in range(i + 1)}
     est = cut(_factor(spread.withColumns(start)))
     for _ in range(STEPS):
-        est = cut(_concentrate(rows, est))
+        est = cut(_concentrate(rows, est, cold))
     return est
 
 
-def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
+def _numbers(est: DataFrame) -> Column:
+    return F.struct(*[c for c in est.columns if c not in ("grp", "hot")])
+
+
+def _concentrate(rows: DataFrame, est: DataFrame, cold: bool) -> DataFrame:
     """One step: the nearest rows of each group, their centre and scatter."""
     d = len(RATES)
-    near = rows.join(F.broadcast(est.select("grp", F.struct(*[c for c in est.columns if c != "grp"]).alias("__e"))), "grp")
-    near = near.select("grp", *RATES, _bin(_distance()).alias("bin"))
-    bound = near.groupBy("grp").agg(F.ceil(F.percentile("bin", SUPPORT)).alias("top"))
-    kept = near.join(F.broadcast(bound), "grp").where(F.col("bin") <= F.col("top"))
+    near = _meet(rows, est.select("grp", "hot", _numbers(est).alias("__e")), "grp", cold=cold)
+    near = near.select("grp", "hot", *RATES, _bin(_distance()).alias("bin"))
+    bound = near.groupBy("grp", "hot").agg(F.ceil(F.percentile("bin", SUPPORT)).alias("top"))
+    kept = _meet(near, bound, "grp", cold=cold).where(F.col("bin") <= F.col("top"))
     exact = lambda x: F.sum(x.cast("decimal(20,0)"))
-    sums = kept.groupBy("grp").agg(
+    sums = kept.groupBy("grp", "hot").agg(
         F.count(F.lit(1)).alias("n"), *[exact(F.col(r)).alias(f"t_{i}") for i, r in enumerate(RATES)],
         *[exact(F.col(RATES[i]) * F.col(RATES[j])).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)],
     )
@@ -215,32 +252,57 @@ def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
     return _factor(sums.withColumns(mean).withColumns(scatter))
 
 
-def judge(counted: DataFrame, est: DataFrame, lang: str = "lang", source: str = "source", out: str = "__q") -> DataFrame:
-    """``counted`` with ``distance`` and ``kept`` added to its struct of counts; no row moves."""
-    small = est.select("grp", F.struct(*[c for c in est.columns if c != "grp"]).alias("e"))
-    g_lang, g_source = _group(F.col(lang)), _group(F.col(source))
-    keys = (("__e0", F.lit("*")), ("__e1", F.concat(F.lit("l"), g_lang)), ("__e2", F.concat(F.lit("s"), g_lang, F.lit("|"), g_source)))
-    for name, k in keys:
-        side = F.broadcast(small.select(F.col("grp").alias(f"{name}g"), F.col("e").alias(name)))
-        counted = counted.join(side, k == F.col(f"{name}g"), "left").drop(f"{name}g")
-    counted = counted.withColumn("__e", F.coalesce("__e2", "__e1", "__e0"))
+def _keyed(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    return rows.withColumns({"__l": _group(F.col(lang)), "__s": _group(F.col(source))})
+
+
+def estimates_of(counted: DataFrame, est: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(__l, __s, hot, __e): the estimate that holds for each language and source of ``counted``, failed rows included."""
+    pairs = _keyed(counted, lang, source).groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _large(pairs, counted.count())
+    keys = {"__e2": F.concat(F.lit("s"), "__l", F.lit("|"), "__s"), "__e1": F.concat(F.lit("l"), "__l")}
+    for name, key in keys.items():
+        side = est.select(F.col("grp").alias("__g"), _numbers(est).alias(name))
+        pairs = pairs.join(side, key == F.col("__g"), "left").drop("__g")
+    pairs = pairs.join(F.broadcast(est.where("grp = '*'").select(_numbers(est).alias("__e0"))), F.lit(True), "left")
+    return cut(pairs.select("__l", "__s", "hot", F.coalesce("__e2", "__e1", "__e0").alias("__e")))
+
+
+def _verdict(rows: DataFrame, out: str = "__q") -> DataFrame:
     distance = _distance("__e", [F.col(f"{out}.{r}") for r in RATES])
     far = F.coalesce(distance > CUTOFF, F.lit(False))
     failed = F.col(f"{out}.base_failed")
-    return counted.withColumn(
-        out, F.col(out).withField("distance", distance).withField("kept", ~failed & ~far)
-    ).drop("__e", "__e0", "__e1", "__e2")
+    return rows.withColumn(out, F.col(out).withField("distance", distance).withField("kept", ~failed & ~far)).drop("__e")
+
+
+def judge(counted: DataFrame, pairs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``counted`` with ``distance`` and ``kept`` added to its struct of counts; ``pairs`` as of ``estimates_of``."""
+    keyed, cold = _keyed(counted, lang, source), _any_cold(pairs)
+    keyed = _tag(keyed, pairs, "__l", "__s") if cold else keyed.withColumn("hot", F.lit(True))
+    return _verdict(_meet(keyed, pairs, "__l", "__s", cold=cold)).drop("__l", "__s", "hot")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row a document: counts, verdicts and distance.  The texts are read once."""
     counted = cut(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"))
-    judged = judge(counted, fit(counted))
+    judged = judge(counted, estimates_of(counted, fit(counted)))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
     return judged.select("doc_id", *[F.col(f"__q.{n}").alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.  The texts are read twice and never move."""
-    est = fit(with_counts(docs.select("lang", "source", "text")).drop("text"))
-    return judge(with_counts(docs), est).where("__q.kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with all their columns.  The texts are read twice."""
+    counted = cut(with_counts(docs.select("lang", "source", "text")).drop("text"))
+    pairs = estimates_of(counted, fit(counted))
+    hot = F.broadcast(pairs.where("hot").drop("hot"))
+    keyed, names = _keyed(docs, "lang", "source"), docs.columns
+    good = _verdict(with_counts(keyed.join(hot, ["__l", "__s"]))).where("__q.kept").select(*names)
+    if not _any_cold(pairs):
+        return good
+    rates = [F.col(f"__q.{r}").alias(f"__{r}") for r in RATES]
+    cold = judge(_keyed(counted, "lang", "source").join(hot, ["__l", "__s"], "left_anti").drop("__l", "__s"), pairs)
+    gone = _keyed(cold.where("not __q.kept and not __q.base_failed"), "lang", "source")
+    gone = stored(gone.select("__l", "__s", *rates).distinct())
+    rest = with_counts(keyed.join(hot, ["__l", "__s"], "left_anti")).where("not __q.base_failed")
+    rest = rest.withColumns({f"__{r}": F.col(f"__q.{r}") for r in RATES}).join(gone, gone.columns, "left_anti")
+    return good.unionByName(rest.select(*names))

@@ -182,6 +182,39 @@ def test_quality_counts_and_outliers(spark):
     assert quality.quality(docs(spark, rows).limit(0)).count() == 0
 
 
+def counted_rows(spark, n, rare):
+    """Counts of n documents; those of the first ``rare`` are of a source of their own, far from the others."""
+    odd = "id < %d" % rare
+    rate = lambda k: "cast(pmod(xxhash64(id, %d), 200) + if(%s, 900, 0) as long)" % (k, odd)
+    names = [f"'{r}', {rate(i)}" for i, r in enumerate(quality.RATES)]
+    return spark.range(n).selectExpr("id as doc_id", "'en' as lang", f"if({odd}, 'rare', 'main') as source",
+                                     f"named_struct('base_failed', false, {', '.join(names)}) as __q")
+
+
+def test_quality_estimates_of_small_sources_in_a_large_table(spark):
+    counted = counted_rows(spark, 130_000, 120)
+    est = quality.fit(counted)
+    assert {r.grp for r in est.collect()} == {"*", "l=en", "s=en|=main", "s=en|=rare"}
+    judged = quality.judge(counted, quality.estimates_of(counted, est))
+    assert judged.count() == 130_000 and judged.where("__q.kept and source = 'rare'").count() > 100
+
+
+def test_quality_by_shuffle_equals_by_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    text = lambda i, mark: f"{mark} ".join("abcdefgh"[: rng.integers(2, 9)] + str(i * j) for j in range(30))
+    rows = [(i, text(i, "#" if i % 150 == 7 else ""), ("en", "de", None)[i % 3], (None, "a", f"b{i}")[i % 4 % 3]) for i in range(900)]
+    rows += [(900, None, "xx", "a"), (901, "one two", None, "zz"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = []
+    for hot in (0, 5, 10**9):
+        monkeypatch.setattr(quality, "HOT", hot)
+        judged = quality.quality(frame).collect()
+        key = lambda r: (r.doc_id, r.kept, r.distance)
+        found.append((sorted(map(key, judged), key=str), sorted(r.doc_id for r in quality.keep_good(frame).collect())))
+        assert found[-1][1] == sorted(r.doc_id for r in judged if r.kept)
+    assert found[0] == found[1] == found[2] and 800 < len(found[0][1]) < 900
+
+
 def test_topk_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(4)
     vectors = [list(map(float, v)) for v in rng.normal(size=(180, 8))] + [[0.5] * 8] * 40
