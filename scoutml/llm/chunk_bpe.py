@@ -65,7 +65,7 @@ class _ChunkEncoder:
             out.append((True, chunk[first : last + 1]))
             join = chunk[last + 1 :]
         out.append((False, join))
-        return [p for p in out if p[1] and not p[1].isspace()]
+        return [p for p in out if p[1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.chars > self.limit:

@@ -51,6 +51,13 @@ def test_chunked_encoding_and_decoding(spark, texts):
         assert r.ids == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_chunked_encoding_of_control_separators(spark):
+    tok = load_tokenizer(VOCABULARY)
+    rows = ["a \x1c b", "\x1c", " \x1d\x1e \x1f\n", "word " * 40 + " \x1c " * 40 + "\x1f" * 9 + " end", "a \u2003 \x85 \x1c\u2003 b"]
+    for r in chunk_bpe.encode_documents(docs(spark, rows), bits=3).collect():
+        assert r.ids == tok.encode(rows[r.doc_id], add_special_tokens=False).ids
+
+
 def test_packing_covers_every_id(spark, texts):
     tok = load_tokenizer(VOCABULARY)
     full = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
