@@ -2,13 +2,15 @@
 
 Base patterns give spans of kinds ``assign``, ``access`` and ``hex``.  The
 entropy scan adds spans of kind ``entropy``: candidate strings are runs of key
-characters; each is put in the narrowest character class that holds it (decimal,
-hexadecimal, base64), and a window of that class's length slides over it.  The
+characters; for each character class (decimal, hexadecimal, base64) a window of
+its length slides over every maximal stretch of the class in a run.  A stretch of
+``LEAST`` characters or more that is shorter than the window is one window, whose
+bound shrinks as the logarithm of its length.  The
 window's Shannon entropy is kept by counts: when a character enters or leaves,
 only that character's term changes, so a candidate of any length costs one step
 a character.  Terms are whole numbers (count * log2(count) scaled by 2**32), so
 no rounding builds up.  Windows at or above the class's entropy bound that mix
-enough character groups are joined into spans.  A span is suppressed when the
+enough character groups are joined into spans, over all classes.  A span is suppressed when the
 allow list knows its text (well-known digests, placeholders) or its shape
 (identifiers such as UUIDs, words joined by separators, paths).  Base spans are
 never suppressed.
@@ -42,8 +44,13 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: class -> (window, least bits per character in a window, least number of character groups)
 CLASSES = {"decimal": (32, 3.1, 1), "hexadecimal": (24, 3.0, 2), "base64": (24, 3.9, 2)}
+#: least length of a run, and of a class's stretch in it
+LEAST = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_STRETCHES = {
+    "decimal": re.compile(rf"[0-9]{{{LEAST},}}"), "hexadecimal": re.compile(rf"[0-9a-fA-F]{{{LEAST},}}"), "base64": _RUN,
+}
 
 #: Digests of the empty text and usual placeholders.
 ALLOWED_TEXTS = frozenset({
@@ -66,22 +73,19 @@ _MAX_WINDOW = max(w for w, _, _ in CLASSES.values())
 _TERM = [0] + [round(c * math.log2(c) * _SCALE) for c in range(1, _MAX_WINDOW + 1)]
 
 
-def _class_of(s: str) -> str:
-    if s.isdigit():
-        return "decimal"
-    return "base64" if s.strip("0123456789abcdefABCDEF") else "hexadecimal"
-
-
 def _group(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
 def entropy_windows(s: str, window: int, bits: float, groups: int) -> list[tuple[int, int]]:
-    """Joined (start, end) of the windows of ``s`` whose entropy is at least ``bits``; a shorter text is one window."""
+    """Joined (start, end) of the windows of ``s`` whose entropy is at least ``bits``.
+
+    A shorter text is one window, its bound the same share of the most its length can hold.
+    """
     w = min(window, len(s))
-    least = round((math.log2(w) - bits * (w / window)) * w * _SCALE) if w == window else None
-    if least is None:
+    if w < 2:
         return []
+    least = round((math.log2(w) - bits * (math.log2(w) / math.log2(window))) * w * _SCALE)
     counts: dict[str, int] = {}
     kinds = [0, 0, 0, 0]
     total, out = 0, []
@@ -110,6 +114,25 @@ def _allowed(s: str) -> bool:
     return s in ALLOWED_TEXTS or any(p.fullmatch(s) for p in ALLOWED_SHAPES)
 
 
+def _entropy_spans(run: str) -> list[tuple[int, int]]:
+    """Spans of the windows of all classes in a run, joined where they meet."""
+    if _allowed(run):
+        return []
+    found = []
+    for name, stretches in _STRETCHES.items():
+        for x in stretches.finditer(run):
+            s, at = x.group(), x.start()
+            if not _allowed(s):
+                found += [(at + a, at + b) for a, b in entropy_windows(s, *CLASSES[name]) if not _allowed(s[a:b])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then kind."""
     spans = []
@@ -123,13 +146,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         if len(run) >= 32:
             spans += [("hex", at + x.start(), at + x.end()) for x in _HEX.finditer(run) if len(x.group()) >= 32]
         for x in _RUN.finditer(run):
-            s = x.group()
-            if _allowed(s):
-                continue
-            window, bits, groups = CLASSES[_class_of(s)]
-            for a, b in entropy_windows(s, window, bits, groups):
-                if not _allowed(s[a:b]):
-                    spans.append(("entropy", at + x.start() + a, at + x.start() + b))
+            spans += [("entropy", at + x.start() + a, at + x.start() + b) for a, b in _entropy_spans(x.group())]
     return sorted(spans, key=lambda p: (p[1], KINDS.index(p[0]), p[2]))
 
 

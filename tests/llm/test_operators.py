@@ -153,6 +153,22 @@ def test_entropy_windows_match_recount():
     assert got == keep
 
 
+def test_secrets_of_short_runs_and_inner_stretches():
+    rng = np.random.default_rng(9)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    spans = lambda t: [(a, b) for k, a, b in secrets.find_secrets(t) if k == "entropy"]
+    for letters, lengths in ((base64, range(20, 24)), ("0123456789abcdef", range(20, 24)), ("0123456789", range(20, 29))):
+        found = [spans(f"see {draw(letters, n)} there") == [(4, 4 + n)] for n in lengths for _ in range(50)]
+        assert np.mean(found) > 0.85
+    for prefix in ("KEY=", "id_", "a/b-"):
+        for letters in ("0123456789ABCDEF", "0123456789abcdefABCDEF"):
+            found = [spans(prefix + draw(letters, 40)) for _ in range(50)]
+            assert np.mean([sum(b - max(a, len(prefix)) for a, b in f) >= 24 for f in found]) > 0.95
+    assert spans("sum=da39a3ee5e6b4b0d3255bfef95601890afd80709") == []
+    assert spans("internationalization getElementsByTagName " + "ab" * 11 + " " + "7" * 25) == []
+
+
 def test_urls(spark):
     urls = [None, "nothing", "http://A.example.net/en/x?a", "https://x.net", "https://x.net/", "http://example.com/de/1",
             "http://a.org/fr/", "http://notnet/", "http://h.com/casino", "http://h.com/casinos", "http://ads-track.com/", "http://ads.com/ads"]
