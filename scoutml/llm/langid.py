@@ -7,9 +7,11 @@ the log probabilities of its trigrams under every language whose training words
 use the word's script (script ranges narrow the candidates; if none does, all
 stay), with other languages at ``FLOOR`` below.  Viterbi finds the best labels of
 the words of a text when each change of language costs ``SWITCH``; runs of one
-label are spans.  Where no stretch of words gains more than ``SWITCH`` by another
-language than the best for the whole text, one language is the exact optimum and
-the table is skipped.
+label are spans.  The table is skipped where the best language of the whole text
+is the exact optimum for all its words: no stretch gains more than ``SWITCH`` by
+another language, so k stretches beside words of the best one do not pay their k
+changes; and no beginning and end together gain more than ``SWITCH``, so neither
+do k stretches that fill the text, which cost one change less.
 
 A document's language has the most letters in its spans; its score is their share.
 
@@ -139,7 +141,8 @@ def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     floor = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    if (gain - np.vstack([np.zeros(gain.shape[1]), floor[:-1]])).max() <= switch:
+    stretch = (gain - np.vstack([np.zeros(gain.shape[1]), floor[:-1]])).max()
+    if stretch <= switch and gain.max() + (gain[-1] - floor[-1]).max() <= switch:
         return np.full(len(scores), best)
     value = scores[0].copy()
     stays, tops = np.ones(scores.shape, dtype=bool), np.zeros(len(scores), dtype=np.int64)

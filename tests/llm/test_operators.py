@@ -291,6 +291,18 @@ def test_best_path_equals_search():
         assert abs(value(best) - value(langid.best_path(s, 2.0).tolist())) < 1e-9
 
 
+def test_best_path_of_two_languages_beside_a_third():
+    s = np.array([[0.0, -12, -5]] * 2 + [[-12.0, 0, -5]] * 2)
+    assert langid.best_path(s, 12.0).tolist() == [0, 0, 1, 1]
+    rng = np.random.default_rng(11)
+    import itertools
+
+    for _ in range(60):  # words that favour no language, and two that adjoin
+        s = -rng.integers(0, 4, (6, 3)).astype(float)
+        value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))
+        assert value(langid.best_path(s, 4.0).tolist()) == max(map(value, itertools.product(range(3), repeat=6)))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     words = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
