@@ -26,8 +26,13 @@ Lists of frequent tokens are split by a salt: in the first round with a pivot fo
 each part and a pivot of pivots, later with the pivots copied to every part.  Codes are 64-bit hashes of whole shingles; classes are told
 apart by a 64-bit code, checked by a second one (a clash raises).
 
+A row is found again by its seat, a hash of its id and text, so ids may be null
+or stand for several texts.
+
 Edge cases: a null, empty or blank text has no shingles and is linked with
-nothing; equal texts, and rows that repeat, are one class; a text of any length
+nothing; equal texts, and rows that repeat, are one class; a null id is a value of
+its own, after all others, so a component's id is null only if all its ids are; an
+id that stands for several texts is in the component of each; a text of any length
 is read whole; an empty table gives no rows; other columns are ignored by the
 join and kept by ``one_of_each``.
 """
@@ -75,17 +80,22 @@ def _slices(batch: pa.RecordBatch):
         yield low, sets, Flat(sets)
 
 
+def _seat(key: str = "doc_id", text: str = "text"):
+    """64 bits of a row's id and text; a null id leaves those of the text."""
+    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+
+
 def _per_document(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, code, code2) of each row."""
+    """(doc_id, seat, n, code, code2) of each row."""
 
     def step(batch: pa.RecordBatch):
         for low, sets, flat in _slices(batch):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, len(sets)), _long(flat.size), _long(flat.keys(5)), _long(flat.keys(7))],
-                names=["doc_id", "n", "code", "code2"],
+                [batch.column(i).slice(low, len(sets)) for i in (0, 2)] + [_long(flat.size), _long(flat.keys(5)), _long(flat.keys(7))],
+                names=["doc_id", "seat", "n", "code", "code2"],
             )
 
-    return map_batches(rows, lambda: step, "doc_id long, n long, code long, code2 long")
+    return map_batches(rows.withColumn("seat", _seat()), lambda: step, "doc_id long, seat long, n long, code long, code2 long")
 
 
 def _short(code: np.ndarray) -> np.ndarray:
@@ -151,31 +161,33 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
-    """Name of a table (doc_id, key, packed) of the wanted classes (doc_id of one member, key), from the whole texts again.
+    """Name of a table (seat, key, packed) of the wanted classes (seat of one member, key), from the whole texts again.
 
-    Texts travel packed to the partition of their id; repeated rows are taken
-    once.  The table is bucketed by that id in the shared warehouse, so that no
+    Texts travel packed to the partition of their seat; repeated rows are taken
+    once.  The table is bucketed by that seat in the shared warehouse, so that no
     later join moves it again.  It holds the packed texts, a quarter of the size
     of their sets.
     """
 
     def pack(batch: pa.RecordBatch):
-        small = pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["doc_id", "packed"])
+        once = pa.array(np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))  # of rows that repeat in a batch
+        seats, texts = batch.column(0).take(once), batch.column(1).take(once)
+        small = pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([seats, small], names=["seat", "packed"])
 
     def step(batch: pa.RecordBatch):
         for low, sets in shingle_slices([_unpacked(t) for t in batch.column(0).to_pylist()]):
-            packed, wanted, doc = (batch.column(i).slice(low, len(sets)) for i in range(3))
-            yield pa.RecordBatch.from_arrays([_long(Flat(sets).keys(5)), wanted, doc, packed], names=["key", "wanted", "doc_id", "packed"])
+            packed, wanted, seat = (batch.column(i).slice(low, len(sets)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([_long(Flat(sets).keys(5)), wanted, seat, packed], names=["key", "wanted", "seat", "packed"])
 
-    sent = map_batches(rows, lambda: pack, "doc_id long, packed binary")
-    found = sent.join(wanted.select("doc_id", F.col("key").alias("wanted")), "doc_id")
-    first = W.partitionBy("doc_id", "h").orderBy("wanted")
+    sent = map_batches(rows.select(_seat().alias("seat"), "text"), lambda: pack, "seat long, packed binary")
+    found = sent.join(wanted.select("seat", F.col("key").alias("wanted")), "seat")
+    first = W.partitionBy("seat", "h").orderBy("wanted")
     found = found.withColumn("h", F.xxhash64("packed")).withColumn("r", F.row_number().over(first)).where("r = 1")
-    made = map_batches(found.select("packed", "wanted", "doc_id"), lambda: step, "key long, wanted long, doc_id long, packed binary")
+    made = map_batches(found.select("packed", "wanted", "seat"), lambda: step, "key long, wanted long, seat long, packed binary")
     name = f"shingle_sets_{uuid.uuid4().hex}"
-    good = made.where("key = wanted").select("doc_id", "key", "packed")
-    good.write.bucketBy(shuffle_partitions(rows.sparkSession), "doc_id").saveAsTable(name, format="parquet")
+    good = made.where("key = wanted").select("seat", "key", "packed")
+    good.write.bucketBy(shuffle_partitions(rows.sparkSession), "seat").saveAsTable(name, format="parquet")
     return name
 
 
@@ -204,8 +216,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
             good = np.array([linked(found[s], found[t]) for s, t in zip(x, y)], dtype=bool)
             yield pa.RecordBatch.from_arrays([_long(a[good]), _long(b[good])], names=["a", "b"])
 
-    side = lambda i, t: sets.select(F.col("doc_id").alias(i), F.col("packed").alias(t))
-    ids = lambda k, i: classes.select(F.col("key").alias(k), F.col("first").alias(i))
+    side = lambda i, t: sets.select(F.col("seat").alias(i), F.col("packed").alias(t))
+    ids = lambda k, i: classes.select(F.col("key").alias(k), F.col("seat").alias(i))
     named = pairs.join(ids("a", "ia"), "a").join(ids("b", "ib"), "b")
     both = named.join(side("ia", "ta"), "ia").join(side("ib", "tb"), "ib")
     return map_batches(both.select("a", "b", "ta", "tb"), lambda: step, "a long, b long")
@@ -240,8 +252,9 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     two = (100 * F.col("n0") >= PERCENT * F.col("n1")) & ((100 + PERCENT) * F.col("r0") >= PERCENT * (F.col("n0") + F.col("n1")))
     lists = lists.withColumns(edge).where((F.col("c") > 1) & some & ((F.col("c") > 2) | two))
     lists = stored(lists.select("token", "salt", "key", "n", "pos"))
-    wanted = lists.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("doc_id"))
-    wanted = stored(wanted)
+    wanted = stored(lists.select("key").distinct().join(classes, "key").select("key", "seat"))
+    if wanted.groupBy("seat").count().where("count > 1").limit(1).count():
+        raise RuntimeError("two different rows have one 64-bit seat")
     name = _candidate_sets(rows, wanted)
     sets = rows.sparkSession.table(name)
     comps = wanted.select(F.col("key").alias("node"), F.col("key").alias("comp"))
@@ -290,36 +303,50 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return comps
 
 
-@tidy_shuffles
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    rows = keyed_text(docs, key, text)
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row (doc_id, seat, n, code, code2), and each class (key, size, comp, first): first has the least (none, doc_id, seat) of it."""
     each = stored(_per_document(rows))
     full = each.where("n > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seat"))
     classes = full.groupBy(F.col("code").alias("key")).agg(
-        F.min("doc_id").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("code2").alias("x"), F.max("code2").alias("y"))
-    classes = stored(classes)
+        least.alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("code2").alias("x"), F.max("code2").alias("y"))
+    classes = stored(classes.withColumn("seat", F.col("first.seat")))
     if classes.where("x <> y").limit(1).count():
         raise RuntimeError("two different shingle sets have one 64-bit code")
     comps = _links(rows, classes)
     named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(lowest, "comp").select("key", "size", "component_id"))
+    return each, named.select("key", "size", "comp", "first")
+
+
+@tidy_shuffles
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    each, classes = _classes(keyed_text(docs, key, text))
+    lowest = classes.groupBy("comp").agg(F.min("first").alias("low"))
+    named = stored(classes.join(lowest, "comp").select("key", "size", F.col("low.doc_id").alias("component_id")))
     # Classes with a thousandth of all rows number at most 1,000: these are joined by broadcast, the rest by their key.
     total = each.count()
-    big = named.where(F.col("size") * 1000 >= total).select("key", F.col("component_id").alias("big_id"))
+    big = named.where(F.col("size") * 1000 >= total).select("key", F.col("component_id").alias("big_id"), F.lit(True).alias("big"))
     rest = named.where(F.col("size") * 1000 < total).select("key", "component_id")
     seen = each.withColumn("key", F.when(F.col("n") > 0, F.col("code"))).join(F.broadcast(big), "key", "left")
-    hot = seen.where(F.col("big_id").isNotNull()).select("doc_id", "n", F.col("big_id").alias("component_id"))
+    hot = seen.where("big").select("doc_id", "n", F.col("big_id").alias("component_id"))
     none = seen.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    cold = seen.where((F.col("n") > 0) & F.col("big_id").isNull()).join(rest, "key").select("doc_id", "n", "component_id")
+    cold = seen.where((F.col("n") > 0) & F.col("big").isNull()).join(rest, "key").select("doc_id", "n", "component_id")
     out = hot.unionByName(none).unionByName(cold)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+@tidy_shuffles
+def _survivors(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, seat) of the first row of each component, and of each text without shingles."""
+    each, classes = _classes(keyed_text(docs, key, text))
+    first = classes.groupBy("comp").agg(F.min("first").alias("low")).select("low.doc_id", "low.seat")
+    return first.unionByName(each.where("n = 0").select("doc_id", "seat").distinct())
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component, repeated rows once; all columns are kept."""
-    keep = jaccard_components(docs, key, text).where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("__keep")).distinct()
-    stay = docs.join(keep, F.col(key).eqNullSafe(F.col("__keep"))).drop("__keep")
-    return stay.dropDuplicates([key])
+    """One row of each component, with the smallest id (null last), and every row without shingles; repeated rows
+    (equal id and text) once; all columns are kept."""
+    keep = _survivors(docs, key, text).select(F.col("doc_id").alias("__keep"), F.col("seat").alias("__seat"))
+    stay = docs.withColumn("__seat", _seat(key, text)).join(keep, "__seat").where(F.col(key).eqNullSafe(F.col("__keep")))
+    return stay.dropDuplicates(["__seat"]).select(*docs.columns)

@@ -105,6 +105,30 @@ def test_jaccard_components(spark, texts):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))
 
 
+def test_jaccard_of_null_and_clashing_ids(spark):
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    near = lambda t: t + " end"
+    rows = [
+        (None, words("a")), (None, words("a")), (None, near(words("a"))),  # a component without ids
+        (None, words("b")),  # one row, no copy
+        (None, words("c")), (7, near(words("c"))),  # the id is the lowest
+        (5, words("d")), (5, words("e")), (6, near(words("d"))), (8, near(words("e"))),  # one id, two texts
+        (9, words("f")), (9, words("f")), (10, None), (10, words("g")), (None, None), (None, " "), (11, ""), (11, ""),
+    ]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect())
+    assert found == Counter({
+        (None, 56, None): 3, (None, 57, None): 1, (None, 56, 7): 1, (7, 57, 7): 1, (5, 56, 5): 2, (6, 57, 5): 1, (8, 57, 5): 1,
+        (9, 56, 9): 2, (10, 0, 10): 1, (10, 56, 10): 1, (None, 0, None): 2, (11, 0, 11): 2})
+    left = jaccard.one_of_each(frame)
+    assert left.columns == frame.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    one = [(None, near(words("a"))), (None, words("a"))]
+    assert sum(got.pop(k, 0) for k in one) == 1
+    assert got == Counter([(None, words("b")), (7, near(words("c"))), (5, words("d")), (5, words("e")), (9, words("f")),
+                           (10, None), (10, words("g")), (None, None), (None, " "), (11, "")])
+
+
 def test_jaccard_of_one_large_group(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
