@@ -22,6 +22,14 @@ def soft_vote(preds: DataFrame) -> DataFrame:
         "row_id", F.col("cls").cast("double").alias("prediction"))
 
 
+def soft_vote_of_shares(shares: DataFrame, members: int) -> DataFrame:
+    """A1 with one row (row_id, cls, p) per member and class it gives a share; a class not given has none.
+    The classes are those of the data."""
+    avg = shares.groupBy("row_id", "cls").agg((F.sum("p") / members).alias("p"))
+    w = Window.partitionBy("row_id").orderBy(F.col("p").desc(), F.col("cls"))
+    return avg.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("row_id", F.col("cls").alias("prediction"))
+
+
 def hard_vote(preds: DataFrame) -> DataFrame:
     """A2: majority class; tie -> lowest class.  ``preds``: (row_id, member, prediction)."""
     cnt = preds.groupBy("row_id", "prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -55,7 +55,7 @@ class LinearGD(Learner):
         n_rows = train.count()
         if "C" in p:  # SVR: C * sum loss + 1/2 |w|^2  ==  mean loss + 1/(2 C n) |w|^2
             alpha = 1.0 / (float(p["C"]) * n_rows)
-        iters = min(int(p.get("max_iter", 1000)), int(p.get("gd_rounds", 40)))
+        iters = int(p.get("max_iter", 1000))
         x = to_array(FEATURES)
         d = train.select(F.size(x)).first()[0]
         n, sx, g, *_ = gram(train, d)

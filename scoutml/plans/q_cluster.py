@@ -122,7 +122,7 @@ def gmm_full(spark, sf):
 
 def _gmm(cov):
     def q(spark, sf):
-        lab, hist = CL.gmm_em(_points(spark, sf).select("id", "x"), 4, cov, max_iter=30)
+        lab, hist = CL.gmm_em(_points(spark, sf).select("id", "x"), 4, cov)
         return lab.select(F.col("id").alias("row_id"), "cluster")
     q.__doc__ = f"K4 with {cov} covariance: EM by aggregations."
     return q

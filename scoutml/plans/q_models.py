@@ -100,14 +100,11 @@ def vote_hard(spark, sf):
 
 def vote_soft(spark, sf):
     """A1: mean of the members' neighbour class shares, argmax, tie -> lowest class."""
-    parts = []
-    for i, k in enumerate([3, 5, 7]):
-        sh = NB.class_shares(_emb_knn(spark, sf, k), "label")
-        prob = sh.groupBy("lid").agg(
-            F.array(*[F.sum(F.when(F.col("label") == c, F.col("p")).otherwise(0.0)) for c in range(10)]).alias("probability"))
-        parts.append(prob.select(F.col("lid").alias("row_id"), F.lit(i).alias("member"), "probability"))
-    allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return EN.soft_vote(allp).select("row_id", F.col("prediction").cast("int").alias("prediction"))
+    members = [3, 5, 7]
+    parts = [NB.class_shares(_emb_knn(spark, sf, k), "label").select(
+        F.col("lid").alias("row_id"), F.col("label").alias("cls"), "p") for k in members]
+    shares = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return EN.soft_vote_of_shares(shares, len(members)).select("row_id", F.col("prediction").cast("int").alias("prediction"))
 
 
 def vote_average(spark, sf):

@@ -130,3 +130,41 @@ def test_run_automl_end_to_end(spark):
     assert res["task"] == "classification"
     assert lb["name"].tolist()[-1] == "nonsense" and lb["score"].isna().tolist()[-1]
     assert res["ensemble"]["voting"] == "soft"
+
+
+def test_mixture_queries_run_to_tolerance(spark, monkeypatch):
+    from scoutml.plans import q_cluster
+
+    asked = []
+    monkeypatch.setattr(q_cluster, "_points", lambda spark, sf: points_df(spark, np.zeros((2, 2))))
+    monkeypatch.setattr(q_cluster.CL, "gmm_em", lambda pts, k, cov, max_iter=200: (asked.append(max_iter), (pts.selectExpr("id", "0 cluster"), []))[1])
+    for cov in ("diag", "spherical", "tied"):
+        q_cluster.QUERIES[f"gmm_{cov}"](spark, "")
+    assert asked == [200] * 3
+
+
+def test_soft_vote_of_any_classes(spark):
+    from scoutml.operators import ensemble as EN
+
+    rows = [(1, 12, 0.9), (1, 3, 0.1), (1, 12, 0.4), (1, 3, 0.6), (2, -5, 0.5), (2, 40, 0.5), (2, 40, 0.5), (2, -5, 0.5)]
+    out = EN.soft_vote_of_shares(spark.createDataFrame(rows, "row_id long, cls int, p double"), 2).collect()
+    assert {r.row_id: r.prediction for r in out} == {1: 12, 2: -5}
+
+
+def test_sgd_goes_on_after_40_rounds(spark, rng):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from scoutml.operators.models.base import FEATURES, LABEL
+    from scoutml.operators.models.registry import build
+
+    a = rng.normal(size=200)
+    x = np.c_[a, a + 0.1 * rng.normal(size=200)]
+    y = 5 * x[:, 0] - 5 * x[:, 1]
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], f"x array<double>, {LABEL} double")
+    df = df.select(array_to_vector("x").alias(FEATURES), LABEL).coalesce(1)
+    error = {}
+    for rounds in (40, 250):
+        fit = build("sgd", "regression", {"loss": "squared_error", "alpha": 0.0, "max_iter": rounds}).fit(df)
+        error[rounds] = fit.predict(df).agg(F.sqrt(F.avg((F.col("prediction") - F.col(LABEL)) ** 2))).first()[0]
+    assert error[250] < 0.5 * error[40]
