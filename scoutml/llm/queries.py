@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutml.llm import chunk_bpe, jaccard, langid, packing, quality, secrets, sharding, topk, toxicity, url_filter
-from scoutml.llm.common import table
+from scoutml.llm import chunk_bpe, jaccard, langid, packing, quality, secrets, sharding, token_align, topk, toxicity, url_filter
+from scoutml.llm.common import stored, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,11 @@ ORACLE["op9_exact_topk"] = topk.ORACLE_SQL
 @query
 def op10_rendezvous_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents"), shards=24)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_align.align_documents(table(spark, sf, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    weighed = token_align.weigh_links(stored(found.withColumn("groups_sha256", digest).drop("groups")))
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
