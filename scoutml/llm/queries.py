@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutml.llm import chunk_bpe, jaccard, langid, packing, quality, secrets, sharding, token_align, topk, toxicity, url_filter
+from scoutml.llm import chunk_bpe, collocations, decontaminate, jaccard, langid, packing, quality, secrets, sharding, token_align, topk, toxicity, url_filter
 from scoutml.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -100,3 +100,23 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
     weighed = token_align.weigh_links(stored(found.withColumn("groups_sha256", digest).drop("groups")))
     return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contaminated_words(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op12_decontamination"] = decontaminate.ORACLE_SQL
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.top_phrases(collocations.collocations(table(spark, sf, "documents")))
+
+
+ORACLE["op13_collocations"] = collocations.ORACLE_SQL
