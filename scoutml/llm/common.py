@@ -27,6 +27,11 @@ def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def packed(df: DataFrame, name: str = "__row") -> DataFrame:
+    """All columns in one struct, so that names made beside it clash with none; ``select("__row.*")`` gives them back."""
+    return df.select(F.struct("*").alias(name))
+
+
 def map_batches(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once per task and returns batch -> iterable of batches."""
 

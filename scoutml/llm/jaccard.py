@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoutml.llm.common import keyed_text, map_batches, stored, tidy_shuffles
+from scoutml.llm.common import keyed_text, map_batches, packed, stored, tidy_shuffles
 from scoutml.llm.components import connected_components
 from scoutml.llm.shingles import Flat, mix, shingle_sets, shingle_slices
 from scoutml.session import shuffle_partitions
@@ -348,5 +348,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row of each component, with the smallest id (null last), and every row without shingles; repeated rows
     (equal id and text) once; all columns are kept."""
     keep = _survivors(docs, key, text).select(F.col("doc_id").alias("__keep"), F.col("seat").alias("__seat"))
-    stay = docs.withColumn("__seat", _seat(key, text)).join(keep, "__seat").where(F.col(key).eqNullSafe(F.col("__keep")))
-    return stay.dropDuplicates(["__seat"]).select(*docs.columns)
+    rows = packed(docs).withColumn("__seat", _seat(f"__row.{key}", f"__row.{text}"))
+    stay = rows.join(keep, "__seat").where(F.col(f"__row.{key}").eqNullSafe(F.col("__keep")))
+    return stay.dropDuplicates(["__seat"]).select("__row.*")

@@ -36,7 +36,10 @@ def _codes(texts: list[bytes], size: int) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64) for _ in texts]
     place = np.arange(len(b))
     place[start[0] :] -= np.repeat(start, np.diff(start, append=len(b)))
-    value = _BYTE[b] * _PLACE[place & 4095] + (place >> 12).astype(np.uint64) * _PLACE[1]
+    value = _BYTE[b] * _PLACE[place & 4095]
+    far = np.flatnonzero(place > 4095)
+    if len(far):  # each stretch of 4,096 bytes has factors of its own
+        value[far] *= mix((place[far] >> 12).astype(np.uint64), 2) | np.uint64(1)
     value[~word] = 0
     code = mix(np.add.reduceat(value, start))
     ends = np.cumsum([len(t) + 1 for t in texts])
