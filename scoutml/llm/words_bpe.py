@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 
 from scoutml.llm.common import load_tokenizer
+from scoutml.llm.shingles import mix
 
 VOCABULARY = "word_bpe_49k.json"
 _WIDE = re.compile("[^\x00-\xff]")
@@ -119,8 +120,9 @@ class WordEncoder:
         place = np.arange(len(b))
         place[start[0] :] -= np.repeat(start, np.diff(start, append=len(b)))
         value = _BYTE[b] * _PLACE[place & 4095]
-        if len(b) > 4096 and place.max() > 4095:
-            value ^= (place >> 12).astype(np.uint64) * _PLACE[7]
+        far = np.flatnonzero(place > 4095)
+        if len(far):  # each stretch of 4,096 bytes has factors of its own
+            value[far] *= mix((place[far] >> 12).astype(np.uint64), 2) | np.uint64(1)
         value[_CLASS[b] == 0] = 0
         code = np.add.reduceat(value, start)
         code ^= code >> np.uint64(29)
