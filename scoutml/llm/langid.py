@@ -40,7 +40,21 @@ TRAIN_DOCS, GRAMS = 500, 20_000
 MAX_LANGUAGES = 400
 SWITCH, FLOOR, CLIP = 12.0, 12.0, 12.0
 SCRIPT_SHARE = 0.01
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Characters of the runs that are no letters: numbers without being decimal digits, such as 2 raised or Roman 4."""
+    return "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+
+
+_LETTERS = re.compile(f"[^\\W\\d_{re.escape(_numerals())}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    words = _RUNS.findall(text)
+    return words if "".join(words).isalpha() or not words else _LETTERS.findall(text)
 
 #: First code points of script ranges, ascending, with the script from there on.
 SCRIPTS = (
@@ -73,13 +87,15 @@ class Model:
     def __init__(self, counts: dict[str, Counter], scripts: dict[str, Counter]):
         self.names = sorted(counts)
         n = len(self.names)
-        self.rows: dict[str, np.ndarray] = {}
+        rows: dict[str, np.ndarray] = {}
         vocabulary = len({g for c in counts.values() for g in c}) + 1
         total = [sum(counts[x].values()) + vocabulary for x in self.names]
         self.unknown = np.array([-math.log(t) for t in total], dtype=np.float64)
         for k, name in enumerate(self.names):
             for g, c in counts[name].items():
-                self.rows.setdefault(g, self.unknown.copy())[k] = math.log((c + 1) / total[k])
+                rows.setdefault(g, self.unknown.copy())[k] = math.log((c + 1) / total[k])
+        self.place = {g: i for i, g in enumerate(rows)}
+        self.table = np.array([*rows.values(), self.unknown]).reshape(len(rows) + 1, n)
         self.scripts = {}
         for s in {s for c in scripts.values() for s in c}:
             used = np.array([scripts[x][s] >= SCRIPT_SHARE * max(1, sum(scripts[x].values())) for x in self.names])
@@ -87,12 +103,15 @@ class Model:
                 self.scripts[s] = used
         self.all = np.ones(n, dtype=bool)
 
-    def score(self, word: str) -> np.ndarray:
-        low = word.lower()
-        s = np.sum([self.rows.get(g, self.unknown) for g in grams(low)], axis=0)
-        s = s - s.max()
-        s = np.maximum(s, -CLIP)
-        candidates = self.scripts.get(script_of(low), self.all)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        get, unknown = self.place.get, len(self.place)
+        low = [w.lower() for w in words]
+        found = [get(g, unknown) for w in low for g in grams(w)]
+        size = np.array([len(w) for w in low])
+        s = np.add.reduceat(self.table[found], np.cumsum(size) - size, axis=0)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -CLIP)
+        candidates = np.array([self.scripts.get(script_of(w), self.all) for w in low])
         return np.where(candidates, s, -CLIP - FLOOR)
 
 
@@ -113,7 +132,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         found: dict[tuple, int] = Counter()
         for pdf in batches:
             for language, body in zip(pdf["lang"], pdf["text"]):
-                words = Counter(w.lower() for w in _LETTERS.findall(body))
+                words = Counter(w.lower() for w in words_of(body))
                 for w, c in words.items():
                     found[language, "script", script_of(w)] += c
                     for g in grams(w):
@@ -173,7 +192,7 @@ class _Labeller:
     def scores(self, words: list[str]) -> np.ndarray:
         place = self.place
         try:
-            return self.table[[place[w] for w in words]]
+            return self.table[list(map(place.__getitem__, words))]
         except KeyError:
             pass
         new = [w for w in set(words) if w not in place]
@@ -182,13 +201,12 @@ class _Labeller:
             place, new = self.place, list(set(words))
         while len(place) + len(new) > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        for w in new:
-            self.table[len(place)] = self.model.score(w)
-            place[w] = len(place)
-        return self.table[[place[w] for w in words]]
+        self.table[len(place) : len(place) + len(new)] = self.model.scores(new)
+        place.update(zip(new, range(len(place), len(place) + len(new))))
+        return self.table[list(map(place.__getitem__, words))]
 
     def label(self, text: str) -> tuple[str, float, list[dict]]:
-        words = _LETTERS.findall(text) if self.model.names else []
+        words = words_of(text) if self.model.names else []
         if not words:
             return "und", 0.0, []
         path = best_path(self.scores(words), SWITCH)
