@@ -12,14 +12,15 @@ reach its k-th lower bound, and at the latest when the lists end; the rows left
 get their final scores.  Each pair sends on at most k rows a query, and the best
 k of all blocks are taken at last (score, then smaller id).
 
-Equal vectors of a block are one row with their k + 1 smallest ids, so copies of
-one vector do not crowd the bounds.  The work is queries times rows, as the
+Equal vectors of a block are one row with their smallest ids, repeated ids
+included, so copies of one vector do not crowd the bounds.  Final scores are
+64-bit integers; bounds leave room for what floating point may be off.  The work is queries times rows, as the
 exact question asks; memory is bounded by the block sizes.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; missing components of shorter vectors count as 0; several rows with a
-query's own id are all its own and are left out; repeated query rows are asked
-once; fewer than k candidates are all returned; an empty table gives no rows;
+query's own id are all its own and are left out; other repeated rows count each;
+repeated query rows are asked once; fewer than k candidates are all returned; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -46,16 +47,25 @@ def whole_vectors(df: DataFrame, key: str, vector: str, scale: int = 256) -> Dat
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
+    out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
+def _slack(x: np.ndarray, queries: np.ndarray) -> float:
+    """What bounds in floating point may be off; raises where a score could pass 64 bits."""
+    largest = x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0))
+    if largest >= 2.0**62:
+        raise OverflowError("inner products may pass 64 bits")
+    return 0.0 if largest < 2.0**52 else largest * 2.0**-48
+
+
 class _Lists:
     """The sorted lists of a block: ranks of every entry and values by rank."""
 
     def __init__(self, x: np.ndarray):
+        x = x.astype(float)
         order = np.argsort(-x, axis=0, kind="stable")
         self.x, self.n = x, len(x)
         self.rank = np.empty_like(order)
@@ -64,6 +74,7 @@ class _Lists:
 
     def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds (rows x queries) after ``depth`` entries of every list."""
+        q = q.astype(float)
         up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
         top, bottom = self.rank < depth, self.rank >= self.n - depth
         high, low = self.values[0], self.values[-1]
@@ -83,7 +94,10 @@ def block_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: n
     back = back.ravel()
     by = np.argsort(back, kind="stable")
     limits = np.append(np.searchsorted(back[by], np.arange(len(x))), len(by))
-    ids = [list(dict.fromkeys(r_ids[by[a:b]].tolist()))[: k + 1] for a, b in zip(limits[:-1], limits[1:])]
+    # a query leaves out its own id, however often it stands there
+    most = int(np.unique(r_ids, return_counts=True)[1].max())
+    ids = [r_ids[by[a : min(b, a + k + most)]].tolist() for a, b in zip(limits[:-1], limits[1:])]
+    slack = _slack(x, queries)
     lists, out = _Lists(x), []
     waiting = np.arange(len(queries))
     alive = np.ones((len(x), len(queries)), dtype=bool)
@@ -94,11 +108,11 @@ def block_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: n
             break
         lower, upper = lists.bounds(queries[waiting], depth)
         bar = np.partition(lower, len(x) - place, axis=0)[len(x) - place]
-        alive[:, waiting] &= upper >= bar
+        alive[:, waiting] &= upper >= bar - slack
         waiting = waiting[alive[:, waiting].sum(axis=0) > 4 * (k + 1)]
     for j, own in enumerate(q_ids.tolist()):
         left = np.flatnonzero(alive[:, j])
-        scores = (x[left] @ queries[j]).astype(np.int64)
+        scores = x[left] @ queries[j]
         if len(left) > k + 1:
             bar = np.partition(scores, len(left) - (k + 1))[len(left) - (k + 1)]
             left, scores = left[scores >= bar], scores[scores >= bar]
