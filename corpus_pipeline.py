@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutml.llm import jaccard, packing, quality, secrets, toxicity
-from scoutml.llm.common import table
+from scoutml.llm.common import packed, table
 from scoutml.session import work_path
 
 #: The trees, the robust estimates and the packing cannot be written as one SQL statement.
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
     scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return scorer.score(docs, out="__score").where(F.col("__score") < 0.5).select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("__row.text"))
+    return scorer.score(rows, out="score").where("score < 0.5").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

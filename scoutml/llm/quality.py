@@ -35,7 +35,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutml.llm.common import stored
+from scoutml.llm.common import packed, stored
 from scoutml.session import cut
 
 WINDOW = 5
@@ -291,18 +291,18 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.  The texts are read twice."""
-    counted = cut(with_counts(docs.select("lang", "source", "text")).drop("text"))
-    pairs = estimates_of(counted, fit(counted))
+    """The rows of ``docs`` that are kept, with all their columns.  The texts are read and counted once, and written with their counts."""
+    lang, source = "__row.lang", "__row.source"
+    rows = stored(with_counts(packed(docs), text="__row.text"))
+    counted = rows.select(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("__row"), "__q")
+    pairs = estimates_of(counted, fit(counted, lang, source), lang, source)
     hot = F.broadcast(pairs.where("hot").drop("hot"))
-    keyed, names = _keyed(docs, "lang", "source"), docs.columns
-    good = _verdict(with_counts(keyed.join(hot, ["__l", "__s"]))).where("__q.kept").select(*names)
+    good = _verdict(_keyed(rows, lang, source).join(hot, ["__l", "__s"])).where("__q.kept").select("__row.*")
     if not _any_cold(pairs):
         return good
     rates = [F.col(f"__q.{r}").alias(f"__{r}") for r in RATES]
-    cold = judge(_keyed(counted, "lang", "source").join(hot, ["__l", "__s"], "left_anti").drop("__l", "__s"), pairs)
-    gone = _keyed(cold.where("not __q.kept and not __q.base_failed"), "lang", "source")
-    gone = stored(gone.select("__l", "__s", *rates).distinct())
-    rest = with_counts(keyed.join(hot, ["__l", "__s"], "left_anti")).where("not __q.base_failed")
-    rest = rest.withColumns({f"__{r}": F.col(f"__q.{r}") for r in RATES}).join(gone, gone.columns, "left_anti")
-    return good.unionByName(rest.select(*names))
+    others = _keyed(rows.where("not __q.base_failed"), lang, source).join(hot, ["__l", "__s"], "left_anti")
+    cold = others.select("__l", "__s", "__q").join(pairs.where(~F.col("hot")).drop("hot"), ["__l", "__s"])
+    gone = stored(_verdict(cold).where("not __q.kept").select("__l", "__s", *rates).distinct())
+    rest = others.withColumns({f"__{r}": F.col(f"__q.{r}") for r in RATES}).join(gone, gone.columns, "left_anti")
+    return good.unionByName(rest.select("__row.*"))
