@@ -1,6 +1,5 @@
-"""Round-by-round learners built from Spark aggregations: linear models by
-full-batch gradient descent (M17 SGD, M11 SVR), AdaBoost with binned stumps
-(M6) and bagging of decision trees (M8).  Each round is one aggregation job;
+"""Round-by-round learners built from Spark aggregations: AdaBoost with binned
+stumps (M6) and bagging of decision trees (M8).  Each round is one aggregation job;
 the driver keeps only k x d numbers."""
 
 from __future__ import annotations
@@ -15,85 +14,11 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutml.functions.vectors import dot, lit_array, to_array
-from scoutml.operators.models.base import FEATURES, LABEL, Fitted, Learner, argmax_code, gram
+from scoutml.functions.vectors import lit_array, to_array
+from scoutml.operators.models.base import FEATURES, LABEL, Fitted, Learner, argmax_code
 from scoutml.session import cut
 
 
-# ------------------------------------------------------------------ linear GD
-def _dloss(loss: str, m: Column, y: Column, eps: float) -> Column:
-    """Derivative of the loss with respect to the margin / prediction."""
-    if loss == "hinge":
-        return F.when(y * m < 1, -y).otherwise(F.lit(0.0))
-    if loss == "log_loss":
-        return -y / (1 + F.exp(y * m))
-    if loss == "modified_huber":
-        z = y * m
-        return F.when(z >= 1, F.lit(0.0)).when(z >= -1, -2 * y * (1 - z)).otherwise(-4 * y)
-    r = m - y
-    if loss == "huber":
-        return F.when(F.abs(r) <= eps, r).otherwise(F.lit(eps) * F.signum(r))
-    if loss == "epsilon_insensitive":
-        return F.when(F.abs(r) <= eps, F.lit(0.0)).otherwise(F.signum(r))
-    return r  # squared_error
-
-
-class LinearGD(Learner):
-    """Regularised linear model: mean loss + alpha/2 |w|^2, minimised by
-    full-batch gradient descent with step 1/L (L from the d x d Gram matrix) and
-    Nesterov momentum; stops when the step changes w by < tol.  Multi-class
-    classification trains one-vs-rest margins together in the same pass."""
-
-    name = "sgd"
-
-    def fit(self, train: DataFrame) -> Fitted:
-        p = self.params
-        cls = self.task == "classification"
-        loss = p.get("loss", "hinge" if cls else "squared_error")
-        alpha = float(p.get("alpha", 1e-4))
-        eps = float(p.get("epsilon", 0.1))
-        n_rows = train.count()
-        if "C" in p:  # SVR: C * sum loss + 1/2 |w|^2  ==  mean loss + 1/(2 C n) |w|^2
-            alpha = 1.0 / (float(p["C"]) * n_rows)
-        iters = int(p.get("max_iter", 1000))
-        x = to_array(FEATURES)
-        d = train.select(F.size(x)).first()[0]
-        n, sx, g, *_ = gram(train, d)
-        aug = np.zeros((d + 1, d + 1))
-        aug[:d, :d], aug[:d, d], aug[d, :d], aug[d, d] = g / n, sx / n, sx / n, 1.0
-        curv = {"log_loss": 0.25, "modified_huber": 2.0}.get(loss, 1.0)
-        step = 1.0 / (curv * float(np.linalg.eigvalsh(aug).max()) + alpha)
-        k = self.n_classes if cls and self.n_classes > 2 else 1
-        w = np.zeros((k, d + 1))
-        v = w.copy()
-        data = cut(train.select(x.alias("x"), F.col(LABEL).alias("y")))
-        for t in range(iters):
-            look = w + (t / (t + 3)) * (w - v) if t else w
-            aggs = []
-            for c in range(k):
-                m = dot("x", lit_array(look[c, :d])) + F.lit(float(look[c, d]))
-                if cls:
-                    yy = F.when(F.col("y") == (c if k > 1 else 1), 1.0).otherwise(-1.0)
-                else:
-                    yy = F.col("y")
-                dl = _dloss(loss, m, yy, eps)
-                aggs += [F.sum(dl * F.col("x")[j]) for j in range(d)] + [F.sum(dl)]
-            r = data.agg(*aggs).first()
-            grad = np.array([r[i] for i in range(len(aggs))], dtype=float).reshape(k, d + 1) / n
-            grad[:, :d] += alpha * look[:, :d]
-            v, w = w, look - step * grad
-            if np.max(np.abs(w - v)) < 1e-3 * max(1.0, np.max(np.abs(w))) * step:
-                break
-        margins = [dot(x, lit_array(w[c, :d])) + F.lit(float(w[c, d])) for c in range(k)]
-        if not cls:
-            pred = margins[0]
-        elif k == 1:
-            pred = F.when(margins[0] > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        else:
-            pred = argmax_code(F.array(*margins), list(range(k)))
-        return Fitted(w, lambda df: df.withColumn("prediction", pred.cast("double")))
-
-
 # ------------------------------------------------------------------ AdaBoost
 def _bins(train: DataFrame, d: int, n_bins: int = 32) -> list[list[float]]:
     arr = train.select(*[to_array(FEATURES)[j].alias(f"f{j}") for j in range(d)])

@@ -7,7 +7,8 @@ import random
 
 from scoutml.operators.models.base import Learner
 from scoutml.operators.models.closed_form import KNN, LDA, BayesianRidge, GaussianNB
-from scoutml.operators.models.iterative import AdaBoost, Bagging, LinearGD
+from scoutml.operators.models.iterative import AdaBoost, Bagging
+from scoutml.operators.models.sgd import KernelSVR, LinearSGD
 from scoutml.operators.models.spark_ml import (
     SVM, DecisionTree, GradientBoosted, LinearFamily, LogisticRegression, RandomForest,
 )
@@ -128,13 +129,13 @@ def build(key: str, task: str, params: dict, n_classes: int = 2, seed: int = 42)
     if key == "svm":
         if cls:
             return SVM(task, params, n_classes, seed)
-        return LinearGD(task, dict(params, loss="epsilon_insensitive"), n_classes, seed)
+        return KernelSVR(task, params, n_classes, seed)
     if key == "logistic regression":
         return LogisticRegression(task, params, n_classes, seed) if cls else None
     if key in ("linear regression", "ridge regression", "lasso regression", "elastic net", "huber"):
         return None if cls else LinearFamily(task, params, n_classes, seed, kind=key)
     if key == "sgd":
-        return LinearGD(task, params, n_classes, seed)
+        return LinearSGD(task, params, n_classes, seed)
     if key == "bayesian ridge":
         return None if cls else BayesianRidge(task, params, n_classes, seed)
     if key == "naive bayes":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scoutml.operators import anomaly as AN
 from scoutml.operators import cluster as CL
 from scoutml.operators import cluster_metrics as CM
+from scoutml.operators import hierarchy as HI
 from scoutml.plans.fixtures import embedding_vectors
 
 EPS, MIN_SAMPLES, LOF_K, CONTAMINATION = 1.15, 4, 10, 0.1
@@ -130,8 +131,7 @@ def _gmm(cov):
 
 def _agglo(linkage):
     def q(spark, sf):
-        lab, exact = CL.agglomerative(_points(spark, sf).select("id", "x"), 10, linkage)
-        return lab.select(F.col("id").alias("row_id"), "cluster", F.lit(exact).alias("exact"))
+        return HI.agglomerative(_points(spark, sf).select("id", "x"), 10, linkage).select(F.col("id").alias("row_id"), "cluster")
     q.__doc__ = f"K3 {linkage} linkage, 10 clusters."
     return q
 

@@ -61,12 +61,6 @@ def test_dbscan_repeated_points_match_row_level(spark, rng):
     assert (cnt == nb.sum(1)).all()
 
 
-def test_agglomerative(spark, rng):
-    for link in ("single", "ward", "average", "complete"):
-        lab, exact = CL.agglomerative(points_df(spark, _blobs(rng)), 2, link)
-        assert exact and _pure(lab.toPandas().sort_values("id")["cluster"].to_numpy())
-
-
 @pytest.mark.parametrize("cov", ["diag", "spherical", "tied"])
 def test_gmm_em_likelihood_non_decreasing(spark, rng, cov):
     lab, hist = CL.gmm_em(points_df(spark, _blobs(rng)), 2, cov, max_iter=15)
