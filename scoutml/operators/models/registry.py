@@ -7,11 +7,10 @@ import random
 
 from scoutml.operators.models.base import Learner
 from scoutml.operators.models.closed_form import KNN, LDA, BayesianRidge, GaussianNB
+from scoutml.operators.models.histogram import Boosting, ExtraTrees
 from scoutml.operators.models.iterative import AdaBoost, Bagging
 from scoutml.operators.models.sgd import KernelSVR, LinearSGD
-from scoutml.operators.models.spark_ml import (
-    SVM, DecisionTree, GradientBoosted, LinearFamily, LogisticRegression, RandomForest,
-)
+from scoutml.operators.models.spark_ml import SVM, DecisionTree, LinearFamily, LogisticRegression, RandomForest
 
 # ---------------------------------------------------------------------------
 # Hyper-parameter search spaces of the reference, per model.
@@ -113,12 +112,10 @@ def build(key: str, task: str, params: dict, n_classes: int = 2, seed: int = 42)
     if key == "random forest":
         return RandomForest(task, params, n_classes, seed)
     if key in ("xgboost", "lightgbm", "catboost", "gradient boosting"):
-        return GradientBoosted(task, params, n_classes, seed, flavour=key)
+        return Boosting(task, params, n_classes, seed, flavour=key)
     if key == "adaboost":
         return AdaBoost(task, params, n_classes, seed)
     if key == "extra trees":
-        from scoutml.operators.models.extra_trees import ExtraTrees
-
         return ExtraTrees(task, params, n_classes, seed)
     if key == "bagging":
         return Bagging(task, params, n_classes, seed)

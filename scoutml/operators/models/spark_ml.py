@@ -1,4 +1,4 @@
-"""Spark ML estimators behind the model protocol (M1–M5, M9, M11 linear, M12–M16, M19)."""
+"""Spark ML estimators behind the model protocol (M1, M9, M11 classification, M12–M16, M19)."""
 
 from __future__ import annotations
 
@@ -75,44 +75,6 @@ class DecisionTree(SparkEstimator):
         return RG.DecisionTreeRegressor(impurity="variance", **kw)
 
 
-class GradientBoosted(SparkEstimator):
-    """M2–M5: gradient-boosted trees.  The xgboost / lightgbm / catboost presets map
-    their rounds, rate, depth and row/column sampling onto ``GBT*``; terms
-    without an equivalent (reg_alpha, reg_lambda, l2_leaf_reg) are recorded only.
-    Multi-class uses one-vs-rest (GBTClassifier is binary)."""
-
-    name = "gradient boosting"
-    has_probability = False
-
-    def __init__(self, task, params=None, n_classes=2, seed=42, flavour="gradient boosting"):
-        super().__init__(task, params, n_classes, seed)
-        self.flavour = flavour
-
-    def _kw(self) -> dict:
-        p = self.params
-        rounds = int(p.get("n_estimators", p.get("iterations", 100)))
-        depth = int(p.get("max_depth", p.get("depth", 3)))
-        if "num_leaves" in p:
-            depth = min(depth, max(1, math.ceil(math.log2(int(p["num_leaves"])))))
-        kw = dict(maxIter=rounds, stepSize=float(p.get("learning_rate", 0.1)), maxDepth=min(depth, 30),
-                  subsamplingRate=float(p.get("subsample", 1.0)), seed=self.seed)
-        col = p.get("colsample_bytree", p.get("max_features"))
-        if isinstance(col, float):
-            kw["featureSubsetStrategy"] = str(col)
-        elif col in ("sqrt", "log2"):
-            kw["featureSubsetStrategy"] = col
-        return kw
-
-    def estimator(self):
-        if self.task == "regression":
-            return RG.GBTRegressor(**self._kw())
-        gbt = C.GBTClassifier(**self._kw())
-        if self.n_classes <= 2:
-            self.has_probability = True
-            return gbt
-        return C.OneVsRest(classifier=gbt, parallelism=4)
-
-
 class LogisticRegression(SparkEstimator):
     """regParam = 1/(C n), elasticNetParam from the penalty, no standardisation."""
 

@@ -244,6 +244,8 @@ _MODEL_FIXTURES = {
     "svr": ("svm", _part_reg), "logistic_regression": ("logistic regression", _cust),
     "elastic_net": ("elastic net", _part_reg), "sgd_classifier": ("sgd", _cust), "sgd_regressor": ("sgd", _part_reg),
     "bayesian_ridge": ("bayesian ridge", _part_reg), "huber": ("huber", _part_reg), "naive_bayes_cv": ("naive bayes", _cust),
+    "xgboost_multiclass": ("xgboost", _cust), "xgboost_reg": ("xgboost", _part_reg), "gradient_boosting_cls": ("gradient boosting", _doc_bin),
+    "extra_trees_reg": ("extra trees", _part_reg), "bagging_reg": ("bagging", _part_reg),
     "lda_cv": ("lda", _cust), "random_forest_reg": ("random forest", _part_reg), "knn_reg": ("knn", _part_reg),
 }
 
