@@ -12,6 +12,7 @@ from scoutml.operators import anomaly as AN
 from scoutml.operators import cluster as CL
 from scoutml.operators import cluster_metrics as CM
 from scoutml.operators import hierarchy as HI
+from scoutml.operators import leaderboard as LB
 from scoutml.plans.fixtures import embedding_vectors
 
 EPS, MIN_SAMPLES, LOF_K, CONTAMINATION = 1.15, 4, 10, 0.1
@@ -69,6 +70,12 @@ def composite_score(spark, sf):
     return s.select("labeling", F.round(CM.composite(F.col("silhouette"), F.col("davies_bouldin"), F.col("calinski_harabasz")), 3).alias("composite"))
 
 
+def leaderboard_unsup(spark, sf):
+    """A5, unsupervised: the labelings by silhouette, those without one last, in order of submission."""
+    rows = _scores(spark, sf).withColumn("submit_order", F.array_position(F.array(*[F.lit(x) for x in ("label", "single", "noisy")]), F.col("labeling")))
+    return LB.order(rows, True, "silhouette").select("position", F.col("labeling").alias("name"), "silhouette")
+
+
 def cluster_counts(spark, sf):
     """Clusters found and noise points per labeling."""
     out = None
@@ -179,7 +186,7 @@ ALL_ALGOS = ["K-Means", "DBSCAN", "Agglomerative", "Gaussian Mixture", "Isolatio
 QUERIES = {
     "silhouette_exact": silhouette_exact, "silhouette_sq": silhouette_sq, "davies_bouldin": davies_bouldin,
     "calinski_harabasz": calinski_harabasz, "cluster_score_guard": cluster_score_guard, "composite_score": composite_score,
-    "cluster_counts": cluster_counts, "kmeans_assign": kmeans_assign, "lof_scores": lof, "contamination_cut": contamination_cut,
+    "cluster_counts": cluster_counts, "leaderboard_unsup": leaderboard_unsup, "kmeans_assign": kmeans_assign, "lof_scores": lof, "contamination_cut": contamination_cut,
     "dbscan_core": dbscan_core, "dbscan": dbscan, "kmeans": kmeans, "gmm_full": gmm_full, "gmm_diag": _gmm("diag"),
     "gmm_spherical": _gmm("spherical"), "gmm_tied": _gmm("tied"), "agglomerative_single": _agglo("single"),
     "agglomerative_ward": _agglo("ward"), "agglomerative_average": _agglo("average"),
@@ -279,6 +286,8 @@ _GUARD = " UNION ALL ".join(f"SELECT '{n}' AS labeling, * FROM {_metrics_sql(e)}
 
 ORACLE["cluster_score_guard"] = f"""SELECT labeling, silhouette, davies_bouldin, round(calinski_harabasz, 2) AS calinski_harabasz
 FROM ({_GUARD})"""
+ORACLE["leaderboard_unsup"] = f"""SELECT CAST(row_number() OVER (ORDER BY silhouette DESC NULLS LAST, list_position(['label', 'single', 'noisy'], labeling)) AS INTEGER) AS position,
+  labeling AS name, silhouette FROM ({_GUARD})"""
 ORACLE["composite_score"] = f"""SELECT labeling, round(0.5 * coalesce(silhouette, -1.0) - 0.3 * coalesce(davies_bouldin, 10.0)
     + 0.2 * coalesce(calinski_harabasz, 0.0), 3) AS composite FROM ({_GUARD})"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutml.operators import ensemble as EN
+from scoutml.operators import folds as FO
 from scoutml.operators import leaderboard as LB
 from scoutml.operators import neighbors as NB
 from scoutml.operators import prepare as PR
@@ -144,6 +145,31 @@ def leaderboard_rank(spark, sf):
     return LB.comparison(_in_sample_records(spark, sf), True)
 
 
+def _with_folds(pred: DataFrame) -> DataFrame:
+    return FO.kfold(pred.select("row_id", "prediction", LABEL), "row_id")
+
+
+def metric_accuracy(spark, sf):
+    """C4 + C9: accuracy of the naive Bayes predictions in each fold, and their mean."""
+    df = _cls_raw(spark, sf)
+    fit = registry.build("naive bayes", "classification", {"var_smoothing": 1e-9}, 5).fit(df)
+    return _metric_rows(FO.fold_accuracy(_with_folds(fit.predict(df))))
+
+
+def metric_rmse(spark, sf):
+    """C5 + C9: RMSE of the linear predictions of part prices by size in each fold, and their mean."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias(LABEL))
+    df = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(p)
+    fit = registry.build("linear regression", "regression", {}).fit(df)
+    return _metric_rows(FO.fold_rmse(_with_folds(fit.predict(df))))
+
+
+def _metric_rows(per_fold: DataFrame) -> DataFrame:
+    """(fold, metric), with the mean over folds as fold -1."""
+    mean = FO.cv_mean(per_fold).select(F.lit(-1).alias("fold"), F.col("cv_score").alias("metric"))
+    return per_fold.select("fold", F.round("metric", 6).alias("metric")).unionByName(mean)
+
+
 def best_model(spark, sf):
     """First valid by score, submit order on ties."""
     return LB.best(_in_sample_records(spark, sf), True)
@@ -255,6 +281,7 @@ QUERIES = {
     "model_ridge_regression": _linear("ridge regression", {"alpha": 10.0}),
     "model_lasso_regression": _linear("lasso regression", {"alpha": 1.0}),
     "vote_hard": vote_hard, "vote_soft": vote_soft, "vote_average": vote_average,
+    "metric_accuracy": metric_accuracy, "metric_rmse": metric_rmse,
     "leaderboard_rank": leaderboard_rank, "best_model": best_model, "top3_models": top3_models,
     "leaderboard_cls": leaderboard_cls, "leaderboard_reg": leaderboard_reg, "ensemble_cv": ensemble_cv,
     "param_table": param_table, "split_anomaly_algos": split_anomaly_algos, "cv_pipeline": cv_pipeline,
@@ -378,3 +405,22 @@ def _split_anomaly_sql() -> str:
 
 ORACLE["split_anomaly_algos"] = _split_anomaly_sql()
 
+
+
+_BLOCK_FOLD = """CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
+       ELSE (n % 5) + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END"""
+
+ORACLE["metric_accuracy"] = f"""WITH {_CLS},
+gnb AS (WITH {_GNB.split(f"WITH {_CLS},", 1)[1].strip()}),
+p AS (SELECT CAST(g.prediction = d.y AS DOUBLE) AS hit, row_number() OVER (ORDER BY d.row_id) - 1 AS r, count(*) OVER () AS n FROM gnb g JOIN d USING (row_id)),
+f AS (SELECT CAST({_BLOCK_FOLD} AS INTEGER) AS fold, avg(hit) AS metric FROM p GROUP BY 1)
+SELECT fold, round(metric, 6) AS metric FROM f UNION ALL SELECT -1, round(avg(metric), 6) FROM f"""
+
+ORACLE["metric_rmse"] = f"""WITH w AS (SELECT covar_pop(p_size, p_retailprice) / var_pop(p_size) AS w, avg(p_size) AS mx, avg(p_retailprice) AS my FROM part),
+p AS (SELECT my + w * (p_size - mx) - p_retailprice AS e, row_number() OVER (ORDER BY p_partkey) - 1 AS r, count(*) OVER () AS n FROM part, w),
+f AS (SELECT CAST({_BLOCK_FOLD} AS INTEGER) AS fold, sqrt(avg(e * e)) AS metric FROM p GROUP BY 1)
+SELECT fold, round(metric, 6) AS metric FROM f UNION ALL SELECT -1, round(avg(metric), 6) FROM f"""
+
+ORACLE["trial_errors"] = """SELECT CAST(position AS INTEGER) AS position, name, failed, error
+FROM (VALUES (1, 'Naive Bayes', false, NULL), (2, 'not a model', true, 'no such model: not a model')) t(position, name, failed, error)
+WHERE (SELECT count(DISTINCT c_mktsegment) FROM customer) > 1"""
