@@ -30,6 +30,8 @@ from scoutml.operators.models.base import FEATURES, LABEL, Fitted, Learner, argm
 from scoutml.session import cut
 
 BATCH, PATIENCE, TOL = 32, 5, 1e-4
+#: share of the last step that the next goes on with, so that features that nearly depend on each other are told apart
+MOMENTUM = 0.9
 #: random features of the rbf kernel; most monomials of the cubic kernel
 FOURIER, MONOMIALS = 256, 5000
 #: bound on a loss's second derivative, for the largest stable step
@@ -63,6 +65,7 @@ class Schedule:
     def __init__(self, kind: str, alpha: float, loss: str, largest: float):
         self.kind, self.alpha, self.largest = kind, alpha, largest
         self.constant = largest
+        alpha = self.alpha = max(alpha, 1e-12)
         typical = math.sqrt(1.0 / math.sqrt(alpha))
         slope = float(loss_and_slope(loss, np.array(-typical), np.array(1.0), 0.1)[1])
         self.t0 = max(1.0, abs(slope)) / (typical * alpha)
@@ -78,7 +81,7 @@ class Schedule:
 
     def stalled(self) -> bool:
         """Whether the objective's stall ends the run."""
-        if self.kind != "adaptive" or self.constant < 1e-4 * self.largest:
+        if self.kind != "adaptive" or self.constant < 2e-3 * self.largest:
             return True
         self.constant /= 5
         return False
@@ -147,7 +150,7 @@ class LinearSGD(Learner):
 
         def walk(start: np.ndarray, done: float):
             def run(batches):
-                now, mean_w, kept, rows, cost, t = start.copy(), np.zeros_like(start), 0, 0, 0.0, done
+                now, mean_w, move, kept, rows, cost, t = start.copy(), np.zeros_like(start), np.zeros_like(start), 0, 0, 0.0, done
                 for b in batches:
                     if not b.num_rows:
                         continue
@@ -159,9 +162,11 @@ class LinearSGD(Learner):
                     lows = range(0, len(x), BATCH)
                     for low_, eta in zip(lows, schedule.steps(t + np.arange(len(lows)))):
                         xb, yb = x[low_ : low_ + BATCH], y[low_ : low_ + BATCH]
-                        slope = loss_and_slope(loss, xb @ now.T, yb, eps)[1].T @ xb / len(xb)
-                        slope[:, :d] += alpha * now[:, :d]
-                        now = now - eta * slope
+                        ahead = now + MOMENTUM * move
+                        slope = loss_and_slope(loss, xb @ ahead.T, yb, eps)[1].T @ xb / len(xb)
+                        slope[:, :d] += alpha * ahead[:, :d]
+                        move = MOMENTUM * move - eta * slope
+                        now = now + move
                         mean_w += now
                         kept += 1
                     t += len(lows)

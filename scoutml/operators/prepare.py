@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutml.functions.scalar import k_rule
-from scoutml.operators.ranking import with_rank
+from scoutml.operators.ranking import values_at, with_rank
 
 NULL_TOKEN = "nan"
 
@@ -91,25 +91,14 @@ def _unpivot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def _pick(ranked: DataFrame, targets: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Mean of the values at the two target ranks of each column."""
-    cond = None
-    for c, (a, b) in targets.items():
-        e = (F.col("column") == c) & F.col("r").isin(a, b)
-        cond = e if cond is None else cond | e
-    got: dict[str, dict[int, float]] = {}
-    for r in ranked.where(cond).collect():  # at most two rows per column
-        got.setdefault(r["column"], {})[r["r"]] = r["v"]
-    return {c: (got[c][a] + got[c][b]) / 2 for c, (a, b) in targets.items()}
-
-
 def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """``(column, median)``: mean of the two middle non-null values; all-null -> null.
 
     Pass 1: counts and an approximate bracket [lo, hi] around the middle ranks
     (``percentile_approx``, rank error <= n/accuracy, widened 4x).  Pass 2: the
-    number of values below lo and inside the bracket.  Pass 3: only the bracket's
-    values are ranked (skew-safe range sort) and the middle ones picked.  If a
+    number of values below lo and inside the bracket.  Pass 3: the bracket's
+    distinct values are ranked with their counts (a value that most rows share is
+    one row) and the middle ones picked.  If a
     bracket misses the middle (the approximation's guarantee failed) that column
     falls back to ranking all of its values.  Nothing is buffered per group.
     """
@@ -145,7 +134,8 @@ def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) ->
         if full:
             parts.append(_unpivot(df, full))
         vals = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        med.update(_pick(with_rank(vals, ["v"], ["column"], name="r"), targets))
+        got = values_at(vals, targets, "column")
+        med.update({c: (got[c, a] + got[c, b]) / 2 for c, (a, b) in targets.items()})
     return spark.createDataFrame([(c, med[c]) for c in cols], "column string, median double")
 
 

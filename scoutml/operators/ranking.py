@@ -71,6 +71,39 @@ def with_rank(
     ).drop("_mid", "_pid", "_pos", "_off", "_first")
 
 
-def group_sizes(ranked: DataFrame, partition_by: Sequence[str], rank_col: str, name: str = "n") -> DataFrame:
-    """Rows per group of a ranked table, as max(rank)+1 (one small aggregate)."""
-    return ranked.groupBy(*partition_by).agg((F.max(rank_col) + 1).alias(name))
+def with_cumulative(df: DataFrame, weight: str, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """Add ``name`` = the sum of ``weight`` over the rows that come before, within the group by ``order_by``.
+
+    With one row per distinct value and its count as weight this gives exact order statistics in which a value that
+    most rows share is still one row: no task sorts its copies.
+    """
+    keys = [F.col(c) for c in (*partition_by, *order_by)]
+    numbered = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    numbered = cut(numbered.withColumn("_mid", F.monotonically_increasing_id())).withColumn("_pid", F.shiftrightunsigned("_mid", 33))
+    parts = numbered.groupBy("_pid", *partition_by).agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("_pid", *partition_by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.withColumn(name, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    same = [numbered["_pid"] == parts["_pid"]] + [numbered[g].eqNullSafe(parts[g]) for g in partition_by]
+    joined = numbered.join(parts, same).select(numbered["*"], parts["_off"])
+    return joined.withColumn(name, (F.col(name) + F.col("_off")).cast("long")).drop("_mid", "_pid", "_off")
+
+
+def values_at(values: DataFrame, ranks: dict[str | None, Sequence[int]], group: str | None = None) -> dict[tuple, float]:
+    """{(group, rank): value} of the 0-based ranks asked for each group of ``values`` (v and, if named, the group)."""
+    by = [group] if group else []
+    counted = values.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_cumulative(counted, "_n", ["v"], by, "_before")
+    holds = F.lit(False)
+    for g, asked in ranks.items():
+        for k in asked:
+            here = (F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k)
+            holds = holds | (here & (F.col(group) == g) if group else here)
+    found = {}
+    for r in placed.where(holds).collect():  # at most one row for each rank asked
+        g = r[group] if group else None
+        for k in ranks[g]:
+            if r["_before"] <= k < r["_before"] + r["_n"]:
+                found[g, k] = r["v"]
+    return found

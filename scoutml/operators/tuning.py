@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler, VectorSlicer
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoutml.functions.vectors import to_array
+from scoutml.functions.vectors import to_array, to_vector
 from scoutml.operators import folds as FO
 from scoutml.operators import prepare as PR
 from scoutml.operators.models import registry
@@ -38,6 +40,8 @@ class Prepared:
     feature_names: list
     shape: tuple
     k_select: int
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+    scores: dict | None = None   # fold -> F-scores of the rows outside it
 
 
 def prepare_supervised(df: DataFrame, target: str = "target", key_col: str | None = None,
@@ -124,10 +128,75 @@ def top_k(scores: np.ndarray, k: int) -> list[int]:
     return sorted(order[:k])
 
 
+def _class_scores(parts: list[tuple[float, int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """ANOVA F from moments (class, rows, means, sample variances); a class may come in several parts."""
+    classes = sorted({p[0] for p in parts}, key=str)
+    n_k, m_k, ssw = [], [], 0.0
+    for c in classes:
+        own = [p for p in parts if p[0] == c]
+        n = np.array([p[1] for p in own], dtype=float)
+        means = np.array([p[2] for p in own])
+        mean = (n[:, None] * means).sum(0) / n.sum()
+        ssw = ssw + sum((k - 1) * np.nan_to_num(p[3]) for k, p in zip(n, own)) + (n[:, None] * (means - mean) ** 2).sum(0)
+        n_k.append(n.sum())
+        m_k.append(mean)
+    n_k, m_k = np.array(n_k), np.array(m_k)
+    n, k = n_k.sum(), len(classes)
+    total = (n_k[:, None] * m_k).sum(0) / n
+    ssb = (n_k[:, None] * (m_k - total) ** 2).sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = (ssb / max(k - 1, 1)) / (ssw / max(n - k, 1))
+    f[(ssw == 0) & (ssb > 0)] = np.inf
+    return f
+
+
+def _correlation_scores(n: float, s: np.ndarray, d: int) -> np.ndarray:
+    """F of a linear fit on each of d features from sums of (x, y, x x, x y, y y), standardised over all rows."""
+    sx, sy, sxx, sxy, syy = s[:d], s[d], s[d + 1 : 2 * d + 1], s[2 * d + 1 : 3 * d + 1], s[3 * d + 1]
+    vx, vy, cov = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+    flat = (vx <= 1e-12 * n) | (vy <= 1e-12 * n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = np.where(flat, np.nan, cov * cov / (vx * vy))
+        f = r2 / (1 - r2) * (n - 2)
+    f[r2 >= 1 - 1e-14] = np.inf
+    return f
+
+
+def fold_scores(prep: Prepared, col: str = "inter") -> dict[int, np.ndarray]:
+    """F-scores of the training rows of every fold, from moments per fold (and class) of one scan: a fold's training
+    rows are all parts but its own."""
+    if prep.task == "classification":
+        s = Summarizer.metrics("count", "mean", "variance")
+        rows = prep.df.groupBy("fold", LABEL).agg(s.summary(F.col(col)).alias("s")).collect()  # folds x classes
+        parts = [(r["fold"], (r[LABEL], r["s"]["count"], r["s"]["mean"].toArray(), r["s"]["variance"].toArray())) for r in rows]
+        return {f: _class_scores([p for g, p in parts if g != f]) for f in {g for g, _ in parts}}
+    both = F.concat(to_array(col), F.array(LABEL))
+    whole = prep.df.agg(Summarizer.metrics("mean", "std").summary(to_vector(both)).alias("s")).first()["s"]
+    mean, std = whole["mean"].toArray(), whole["std"].toArray()
+    std = np.where(std > 0, std, 1.0)
+    d = len(mean) - 1
+
+    def sums(batches):
+        for b in batches:
+            for fold in np.unique(b["fold"]):
+                z = (np.stack([np.asarray(v) for v in b.loc[b["fold"] == fold, "z"]]) - mean) / std
+                x, y = z[:, :d], z[:, d]
+                yield pd.DataFrame({"fold": [int(fold)], "s": [np.concatenate([[len(z)], x.sum(0), [y.sum()], (x * x).sum(0), y @ x, [y @ y]]).tolist()]})
+
+    per = prep.df.select("fold", both.alias("z")).mapInPandas(sums, "fold int, s array<double>")
+    got = {r["fold"]: np.array(r["s"].toArray()) for r in per.groupBy("fold").agg(Summarizer.sum(to_vector("s")).alias("s")).collect()}
+    total = sum(got.values())
+    return {f: _correlation_scores((total - own)[0], (total - own)[1:], d) for f, own in got.items()}
+
+
 def fold_split(prep: Prepared, fold: int) -> tuple[DataFrame, DataFrame]:
+    with prep.lock:
+        if prep.scores is None:
+            prep.scores = fold_scores(prep)
     train = prep.df.where(F.col("fold") != fold)
     test = prep.df.where(F.col("fold") == fold)
-    idx = top_k(f_scores(train, prep.task), prep.k_select)
+    scores = prep.scores.get(fold)
+    idx = top_k(f_scores(train, prep.task) if scores is None else scores, prep.k_select)  # a fold without rows has all others
     sl = VectorSlicer(inputCol="inter", outputCol=FEATURES, indices=idx)
     return sl.transform(train), sl.transform(test)
 

@@ -198,3 +198,63 @@ def test_scores_are_exact_past_64_bits(spark):
     a, left, right = 3_000_000_017, 3_100_000_007, 9_000_000_000_011
     (row,) = spark.range(1).select(collocations._score(F.lit(a), F.lit(left), F.lit(right)).alias("s")).collect()
     assert row.s == 1_000_000 * a * a // (left * right)
+
+
+def test_long_words_with_exchanged_blocks_differ():
+    from scoutml.llm import shingles
+    from scoutml.llm.common import load_tokenizer
+    from scoutml.llm.words_bpe import VOCABULARY, WordEncoder
+
+    a, b = ("one " + x * 4096 + y * 4096 + " two" for x, y in ("ab", "ba"))
+    first, second = shingles.shingle_sets([a, b])
+    assert first.tolist() != second.tolist()
+    tok = load_tokenizer(VOCABULARY)
+    assert [g.tolist() for g in WordEncoder().encode([a, b])] == [tok.encode(t, add_special_tokens=False).ids for t in (a, b)]
+
+
+def test_numerals_are_no_letters(spark):
+    from scoutml.llm import langid
+
+    assert langid.words_of("² ½ ① Ⅳ 12 _") == [] and langid.words_of("a² b_c Ünï 12x 一") == ["a", "b", "c", "Ünï", "x", "一"]
+    frame = docs(spark, ["the cat and the dog", "der hund und die katze", "² ½"], ["en", "de", "en"])
+    found = {r.doc_id: r for r in langid.identify(frame, langid.train(frame)).collect()}
+    assert (found[2].lang_pred, found[2].score) == ("und", 0.0)
+
+
+def test_top_k_counts_repeated_rows_and_is_exact():
+    from scoutml.llm import topk
+
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-(10**9), 10**9, (120, 5))
+    rows[100:] = rows[:20]
+    ids = np.concatenate([np.arange(100), np.repeat([3, 3, 500, 501], 5)])
+    queries, own = rows[:6], ids[:6]
+    got = sorted(topk.block_top(queries, own, rows, ids, 5))
+    want = []
+    for q, mine in zip(queries, own):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(q, r)), int(i)) for r, i in zip(rows, ids) if i != mine)
+        want += [(int(mine), i, -s) for s, i in scores[:5]]
+    assert got == sorted(want)
+    with pytest.raises(OverflowError):
+        topk.block_top(rows[:1] * 10**8, ids[:1], rows * 10**3, ids, 5)
+
+
+def test_pipeline_stages_keep_columns_with_clashing_names(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    line = lambda: " ".join(rnd.choice("alpha beta gamma delta house river stone cloud".split()) + str(rnd.randint(0, 99)) for _ in range(30))
+    texts = [line() for _ in range(12)] + [None, "", "too short"]
+    texts += texts[:2]
+    names = ["__q", "__l", "__s", "__e", "hot", "__row", "__x", "__raw", "__score", "score", "__seat", "__keep", "grp"]
+    plain = docs(spark, texts).drop("key", "n", "label", "code")
+    extra = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("text"), F.lit(""))) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, extra, "/root/testdata/sf0.001")
+        assert kept.columns == extra.columns, name
+        rows = kept.collect()
+        if name != "secret_scans":
+            assert all(r[c] == c + (r.text or "") for r in rows for c in names), name
+            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, plain, "/root/testdata/sf0.001").collect()), name
+        assert stage(spark, extra.where("false"), "/root/testdata/sf0.001").count() == 0
