@@ -56,7 +56,7 @@ def _matrix(vectors, width: int) -> np.ndarray:
 def _slack(x: np.ndarray, queries: np.ndarray) -> float:
     """What bounds in floating point may be off; raises where a score could pass 64 bits."""
     largest = x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0))
-    if largest >= 2.0**62:
+    if largest >= 2.0**63:
         raise OverflowError("inner products may pass 64 bits")
     return 0.0 if largest < 2.0**52 else largest * 2.0**-48
 
