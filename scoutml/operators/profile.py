@@ -55,7 +55,7 @@ def detect_task(df: DataFrame, target: str = "target") -> str:
     estimate pays for the exact distinct count.
     """
     if target not in df.columns:
-        raise ValueError(f"Dataset must contain a '{target}' column.")
+        raise ValueError(f"no column named {target!r}")
     if is_string_type(df, target):
         return "classification"
     approx = df.agg(F.approx_count_distinct(target, 0.01)).first()[0]

@@ -108,7 +108,7 @@ def result_json_roundtrip(spark, sf):
 
 
 def report_lines(spark, sf):
-    """S10 + F4/F5/F6: report text lines per experiment."""
+    """S10 + F4/F6: report rows per experiment."""
     _, df = _fresh(spark, sf)
     return RP.report_lines(df)
 
@@ -171,24 +171,18 @@ ORACLE = _oracle()
 
 
 def _report_sql() -> str:
-    base = _oracle_base()
-    pad = "CASE WHEN length({x}) < 25 THEN rpad({x}, 25, ' ') ELSE {x} END"
-    return base + f""", shape AS (SELECT '[' || CAST(count(*) AS VARCHAR) || ', 4]' AS s FROM customer),
-hdr AS (
-  SELECT h.id, v.n AS line_no, CASE v.n
-      WHEN 0 THEN repeat('=', 60) WHEN 1 THEN 'EXPERIMENT REPORT' WHEN 2 THEN 'Generated : ' || h.timestamp
-      WHEN 3 THEN repeat('=', 60) WHEN 4 THEN 'User Prompt   : ' || p.text WHEN 5 THEN 'Mode          : ' || upper(h.mode)
-      WHEN 6 THEN 'Dataset Shape : ' || shape.s
-      ELSE CASE WHEN h.mode = 'unsupervised' THEN 'CLUSTERING RESULTS:' ELSE 'MODEL RESULTS:' END END AS line
-  FROM h JOIN p USING (id), shape, (SELECT unnest(range(8)) AS n) v),
-body AS (
-  SELECT sel.id, 8 + sel.pos AS line_no,
-         '  ' || {pad.format(x='sel.name')} ||
-         CASE WHEN sel.unsup THEN ' Silhouette: ' ELSE ' Accuracy: ' END ||
-         coalesce(printf('%.4f', sel.score), 'Failed') AS line
-  FROM sel)
-SELECT id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '[^\\x{{0000}}-\\x{{00FF}}]', '?', 'g') AS line
-FROM (SELECT * FROM hdr UNION ALL SELECT * FROM body)"""
+    return _oracle_base() + f""", shape AS (SELECT '[' || CAST(count(*) AS VARCHAR) || ', 4]' AS s FROM customer),
+run AS (
+  SELECT h.id, v.n AS line_no, 'run' AS section, CASE v.n WHEN 0 THEN 'prompt' WHEN 1 THEN 'mode' WHEN 2 THEN 'shape' ELSE 'recorded' END AS label,
+    CASE v.n WHEN 0 THEN p.text WHEN 1 THEN h.mode WHEN 2 THEN shape.s ELSE h.timestamp END AS value
+  FROM h JOIN p USING (id), shape, (SELECT unnest(range(4)) AS n) v),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, pos) AS rank FROM sel),
+ranking AS (
+  SELECT id, 3 + rank AS line_no, 'ranking' AS section, CAST(rank AS VARCHAR) || '. ' || name AS label,
+    coalesce('accuracy ' || printf('%.4f', score) || ', trials 1', 'failed') AS value FROM ranked)
+SELECT id, CAST(line_no AS INTEGER) AS line_no, section, regexp_replace(label, '[^\\x{{0000}}-\\x{{00FF}}]', '?', 'g') AS label,
+  regexp_replace(value, '[^\\x{{0000}}-\\x{{00FF}}]', '?', 'g') AS value
+FROM (SELECT * FROM run UNION ALL SELECT * FROM ranking)"""
 
 
 ORACLE["report_lines"] = _report_sql()
