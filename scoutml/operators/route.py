@@ -47,11 +47,13 @@ MODEL_ALIASES = [
 CLASSIFICATION_MODELS = [
     "Random Forest", "XGBoost", "LightGBM", "CatBoost", "Gradient Boosting", "AdaBoost",
     "Extra Trees", "Decision Tree", "KNN", "SVM", "Logistic Regression", "Naive Bayes", "LDA", "SGD",
+    "Bagging",  # serves both tasks (D17); last, so that the first five stay
 ]
 REGRESSION_MODELS = [
     "Random Forest", "XGBoost", "LightGBM", "CatBoost", "Gradient Boosting", "AdaBoost",
     "Extra Trees", "Decision Tree", "KNN", "SVM", "Linear Regression", "Ridge Regression",
     "Lasso Regression", "Elastic Net", "SGD", "Bayesian Ridge", "Huber",
+    "Bagging",
 ]
 DEFAULT_MODELS = ["Random Forest", "XGBoost", "LightGBM", "Gradient Boosting", "SVM"]
 ALL_MODELS_WORDS = ["all", "best"]

@@ -19,6 +19,8 @@ def test_prompt_models(spark):
     # classification drops the regression-only name
     got = _one(spark, "compare lasso and gbm please", lambda c: R.prompt_models(c, F.lit("classification")))
     assert got == ["Gradient Boosting"]
+    for task in ("classification", "regression"):
+        assert _one(spark, "use bagging", lambda c: R.prompt_models(c, F.lit(task))) == ["Bagging"]
     assert _one(spark, "try all of them", lambda c: R.prompt_models(c, F.lit("classification"))) == R.CLASSIFICATION_MODELS[:5]
     assert _one(spark, "hello", lambda c: R.prompt_models(c, F.lit("classification"))) == R.DEFAULT_MODELS
     # whole words only, accented letters count as letters
