@@ -24,18 +24,22 @@ ranked by the phrase.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutml.llm.common import map_batches, stored
+from scoutml.llm.common import map_batches, stored, tidy_shuffles
 
 LEAST, COVER, TOP = 10, 50, 2000
+#: parts of a language that are ranked by themselves first
+PARTS = 8
 #: characters of a chunk; bits of the bitmaps (16 MiB)
-CHUNK, BITS = 4_000_000, 1 << 27
+CHUNK, BITS = 1_000_000, 1 << 27
 #: bytes of a text split at once
 _PART = 2_000_000
 _BREAK = b"\xff"  # stands in no UTF-8 text
@@ -184,30 +188,44 @@ class _Phrases:
             parts = [one >> 32, one & 0xFFFFFFFF, two & 0xFFFFFFFF]
         for low in range(0, len(n), 50_000):
             some = [words.take(pa.array(p[low : low + 50_000])) for p in parts]
-            size = len(some[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size, pa.string()), *some, pa.array(n[low : low + size], pa.int64())],
-                names=["lang", *[f"w{k + 1}" for k in range(len(parts))], "f"],
-            )
+            key = pc.binary_join_element_wise(lang, pc.binary_join_element_wise(*some, " "), "\n")
+            yield pa.RecordBatch.from_arrays([key, pa.array(n[low : low + len(key)], pa.int64())], names=["key", "f"])
 
 
-def _frequent(parts: DataFrame, least: int) -> DataFrame:
-    names = [c for c in parts.columns if c != "f"]
-    return stored(parts.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+@contextlib.contextmanager
+def _single_rows(spark):
+    """Chunks go to Python one at a time, whatever number of rows the session sends at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _frequent(parts: DataFrame, n: int, least: int) -> DataFrame:
+    """The stream (lang, w1.., f) of the counts by key that add up to ``least``; a key is the language, a line end and the words."""
+    often = parts.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    phrase = F.substring_index("key", "\n", -1)  # words hold no line ends
+    lang = F.substring(F.col("key"), F.lit(1), F.char_length("key") - F.char_length(phrase) - 1)
+    words = [F.split(phrase, " ")[k].alias(f"w{k + 1}") for k in range(n)]
+    with _single_rows(parts.sparkSession):
+        return stored(often.select(lang.alias("lang"), *words, "f"))
 
 
 def count_phrases(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Streams (lang, w1, f), (lang, w1, w2, f), (lang, w1, w2, w3, f) of all phrases found ``least`` times or more."""
-    each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("w1"), F.col("x.counts").alias("f"))
-    ones = _frequent(each, least)
+    each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    ones = _frequent(each.select(F.concat_ws("\n", "lang", "x.words").alias("key"), F.col("x.counts").alias("f")), 1, least)
     keyed = chunks.select("lang", "words", F.transform("words", lambda w: _word_key(F.col("lang"), w)).alias("keys"), "codes")
     share = chunks.sparkSession.sparkContext.broadcast
     word_bits = share(Bitmap(ones.select(_word_key(F.col("lang"), F.col("w1")).alias("key"))))
-    twos = _frequent(map_batches(keyed, lambda: _Phrases(word_bits.value, None), "lang string, w1 string, w2 string, f long"), least)
+    twos = _frequent(map_batches(keyed, lambda: _Phrases(word_bits.value, None), "key string, f long"), 2, least)
     key = _pair_key(_word_key(F.col("lang"), F.col("w1")), _word_key(F.col("lang"), F.col("w2")))
     pair_bits = share(Bitmap(twos.select(key.alias("key"))))
-    threes = map_batches(keyed, lambda: _Phrases(word_bits.value, pair_bits.value), "lang string, w1 string, w2 string, w3 string, f long")
-    return ones, twos, _frequent(threes, least)
+    threes = _frequent(map_batches(keyed, lambda: _Phrases(word_bits.value, pair_bits.value), "key string, f long"), 3, least)
+    return ones, twos, threes
 
 
 def _merge(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -222,6 +240,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top, low)
 
 
+@tidy_shuffles
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, a, l, r, n, score): every phrase of two or three words that stays, unranked.
 
@@ -255,8 +274,11 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, text:
 
 def top_phrases(found: DataFrame, top: int = TOP) -> DataFrame:
     """The first ``top`` of each language by score, count and phrase, with their rank from 1."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    few = found.withColumn("part", part).withColumn("rank", first).where(F.col("rank") <= top).drop("part", "rank")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
