@@ -106,3 +106,31 @@ def test_rows_find_their_leaves():
     left = tree.split(0, 1, 2.0)
     deeper = tree.split(left + 1, 0, 5.0)
     assert tree.nodes_of(np.array([[0, 2.0], [5.0, 3.0], [6.0, 3.0]])).tolist() == [left, deeper, deeper + 1]
+
+
+def test_rows_between_the_same_cuts_are_one_cell(spark, rng):
+    """A block holds a point a cell, on the rows' side of every cut, and a cell's sums are those of its rows."""
+    x, y = rng.normal(size=(600, 2)), rng.integers(0, 3, 600).astype(float)
+    cuts = [np.array([-0.5, 0.5]), np.array([0.0])]
+    data = histogram._gathered(histogram._training(frame(spark, x, y)), cuts, np.zeros(3))
+    cells = sum(len(points) for b in data.toArrow().to_batches() for points, *_ in histogram._blocks(b))
+    assert cells <= (3 * 2 + 2) * histogram.tasks_of(data) < 600
+    x[0, 0] = np.nan
+    points, of = histogram._cells(x, cuts)
+    assert all(((points[of, j] > c) == (x[:, j] > c)).all() for j in range(2) for c in cuts[j])
+    assert (histogram._codes(points, cuts)[of] == histogram._codes(x, cuts)).all()
+    margin = rng.normal(size=(len(points), 3))
+    g, h = Boosting("classification", {}, 3)._gradients(margin, of, y)
+    p = np.exp(margin) / np.exp(margin).sum(axis=1, keepdims=True)
+    for c in range(len(points)):
+        own = of == c
+        assert np.allclose(g[c], (p[c] - (y[own, None] == np.arange(3))).sum(axis=0))
+        assert np.allclose(h[c], own.sum() * p[c] * (1 - p[c]))
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_sides_of_all_nodes_at_once_are_those_of_each(rng, task):
+    y, group = rng.integers(0, 3, 200).astype(float), rng.integers(0, 4, 200)
+    trees = ExtraTrees(task, {}, 3)
+    want = np.stack([trees._stats(y[group == g], np.ones((1, (group == g).sum()), bool), 3)[0] for g in range(4)])
+    assert np.allclose(trees._grouped(group, y, 4, 3), want)

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from scoutml.operators import folds, prepare
@@ -110,3 +111,27 @@ def test_covariance_narrow_and_wide(spark, rng):
         _, ratios = prepare.pca_components(cov, 2)
         ev = np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1]
         assert np.allclose(ratios, ev[:2] / ev.sum())
+
+
+def test_soft_vote_accuracy_is_that_of_votes_joined_with_labels(spark):
+    """Repeated ids vote together, null ids not at all, ties go to the lowest class, short vectors have no share."""
+    from scoutml.operators import ensemble
+
+    rows = [(1, 0.0, [0.6, 0.4], [0.4, 0.6]), (1, 1.0, [0.1, 0.9], [0.2, 0.8]), (2, 1.0, [0.5, 0.5], [0.5, 0.5]),
+            (3, 0.0, [0.9, 0.1], [0.2, 0.8]), (None, 1.0, [0.0, 1.0], [0.0, 1.0]), (4, 0.0, [0.3], [0.2, 0.8])]
+    df = spark.createDataFrame(rows, "row_id long, label double, a array<double>, b array<double>")
+    preds = df.select("row_id", F.lit(0).alias("member"), F.col("a").alias("probability")).unionByName(
+        df.select("row_id", F.lit(1).alias("member"), F.col("b").alias("probability")))
+    joined = ensemble.soft_vote(preds).join(df.select("row_id", "label"), "row_id")
+    want = joined.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert ensemble.soft_vote_accuracy(df, ["a", "b"], 2) == pytest.approx(want) == pytest.approx(2 / 5)
+
+
+def test_long_tables_in_few_partitions_are_dealt_to_more(spark, monkeypatch):
+    from scoutml.operators import tuning
+
+    monkeypatch.setattr(tuning, "SPREAD", 20)
+    df = spark.range(60).coalesce(1)
+    out = tuning._spread(df, 60)
+    assert out.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism) and out.count() == 60
+    assert tuning._spread(df, 30).rdd.getNumPartitions() == 1
