@@ -59,3 +59,24 @@ def test_svr_kernels(spark, rng):
     assert error["rbf"] < 0.2 < error["linear"] and abs(error["poly"] - error["linear"]) > 1e-3
     with pytest.raises(ValueError):
         registry.build("svm", "regression", {"kernel": "sigmoid"}).fit(df)
+
+
+def test_features_are_made_a_stretch_at_a_time(spark, rng):
+    """No task holds the features of more than STRETCH rows, and the rows' sums come once a task."""
+    from scoutml.operators.models import sgd
+
+    most = sgd.STRETCH
+
+    class Bounded(sgd.LinearSGD):
+        def features(self, data):
+            def phi(x):
+                if len(x) > most:
+                    raise ValueError("too many rows at once")
+                return np.column_stack([x, x * x])
+
+            return phi
+
+    x = rng.normal(size=(5 * most, 1))
+    df = frame(spark, x, 3 * x[:, 0] + x[:, 0] ** 2)
+    fitted = Bounded("regression", {"max_iter": 10, "alpha": 1e-6}).fit(df.coalesce(1))
+    assert np.allclose(fitted.info["coef"][0], [3, 1], atol=0.1)
