@@ -162,3 +162,14 @@ def test_sgd_goes_on_after_40_rounds(spark, rng):
         fit = build("sgd", "regression", {"loss": "squared_error", "alpha": 0.0, "max_iter": rounds}).fit(df)
         error[rounds] = fit.predict(df).agg(F.sqrt(F.avg((F.col("prediction") - F.col(LABEL)) ** 2))).first()[0]
     assert error[250] < 0.5 * error[40]
+
+
+def test_kmeans_keeps_no_table_in_memory(spark, rng):
+    from scoutml.operators import cluster
+
+    spark.catalog.clearCache()
+    x = np.concatenate([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 50])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    found = {r.id: r.cluster for r in cluster.kmeans(points, 2, n_init=2).collect()}
+    assert len({found[i] for i in range(30)}) == len({found[i] for i in range(30, 60)}) == 1 and found[0] != found[59]
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
