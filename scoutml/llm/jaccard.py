@@ -58,6 +58,11 @@ PERCENT = 80
 #: tokens put last in order 1, and the least number of prefixes they stand in
 FREQUENT, LEAST_LIST = 200_000, 3
 SALTS = 16
+#: counts from here on are one when the most frequent tokens are looked for
+MANY = 10_000
+#: bits of a token in a list, fewer than a hash has, so that lists take less room; tokens that
+#: fall together only bring candidates
+TOKEN_BITS = 40
 #: how many times more pivots a list gets in each further round
 MORE = 64
 
@@ -123,13 +128,26 @@ def _frequent_tokens(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(token), _long(count)], names=["token", "c"])
 
     counts = map_batches(rows, lambda: step, "token int, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = counts.where(F.col("c") >= LEAST_LIST).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token")
-    return np.sort(np.array([r.token for r in top.collect()], dtype=np.int32))
+    counts = stored(counts.where(F.col("c") >= LEAST_LIST))
+    # how many tokens have each count, up to a bound in which all high counts are one; tokens of the last count that
+    # still has room are taken from one stretch of their values, as many as fit if they lie evenly
+    capped = F.least(F.col("c"), F.lit(MANY))
+    spread = sorted(((r.c, r.k) for r in counts.groupBy(capped.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    room, take = FREQUENT, F.lit(False)
+    for c, k in spread:  # at most MANY rows
+        share = min(1.0, room / k)
+        end = -(2**31) + int(share * 2**32)
+        take = (capped > c) | ((capped == c) & (F.col("token") < end))
+        room -= k
+        if room <= 0:
+            break
+    return np.sort(counts.where(take).select("token").toArrow().column("token").to_numpy().astype(np.int32))
 
 
 def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, salt, key, pos) of the prefixes under order 1, once for each class and slice."""
+    """(token, place, key) of the prefixes under order 1, once for each class and slice: ``place`` holds pos and, in its last bits, salt."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    spare = np.uint64(64 - TOKEN_BITS)
 
     def make():
         often = shared.value
@@ -150,14 +168,13 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 chosen = (place < prefix_length(f.size)[f.of]) & once[f.of]
                 of = f.of[chosen]
                 salt = np.where(last[chosen], 1 + key[of] % SALTS, 0)
+                token = f.code[chosen] >> spare
                 yield pa.RecordBatch.from_arrays(
-                    [_long(f.code[chosen].view(np.int64)), pa.array(salt.astype(np.int32)), _long(key[of]), _long(place[chosen])],
-                    names=["token", "salt", "key", "pos"],
-                )
+                    [_long(token.view(np.int64)), _long(place[chosen] * (2 * SALTS) + salt), _long(key[of])], names=["token", "place", "key"])
 
         return step
 
-    return map_batches(rows, make, "token long, salt int, key long, pos long")
+    return map_batches(rows, make, "token long, place long, key long")
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
@@ -238,9 +255,12 @@ def _pairs(joined: DataFrame) -> DataFrame:
 def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): enough links of classes that their components are those of all links."""
     posts = _postings(rows, _frequent_tokens(rows))
-    one = W.partitionBy("token", "salt")
-    ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)})
-    lists = ends.where("low < high or salt > 0").select("token", "salt", "key", "pos").dropDuplicates(["token", "salt", "key"])
+    salt = F.pmod("place", F.lit(2 * SALTS))
+    one = W.partitionBy("token", salt)
+    ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)}).withColumn("salt", salt.cast("int"))
+    # of tokens of one set that fall together the first place is kept
+    lists = ends.where("low < high or salt > 0").groupBy("token", "salt", "key").agg(
+        F.shiftright(F.min("place"), (2 * SALTS).bit_length() - 1).alias("pos"))
     # rows that can have no similar partner in their list, by sizes and places, go
     lists = stored(lists).join(classes.select("key", "n"), "key")
     all_of = W.partitionBy("token")

@@ -14,7 +14,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 _STEP = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -347,3 +347,23 @@ def test_toxicity(spark):
     assert np.mean([(out[i] >= 0.5) == bool(marks[i]) for i in held]) > 0.95
     none = toxicity.train(frame, labels.limit(0)).score(frame).select("score").distinct().collect()
     assert [r.score for r in none] == [0.0]
+
+
+def test_jaccard_with_tokens_that_fall_together(spark, texts, monkeypatch):
+    """Few bits a token and few frequent tokens change the candidates only."""
+    monkeypatch.setattr(jaccard, "TOKEN_BITS", 14)
+    monkeypatch.setattr(jaccard, "FREQUENT", 20)
+    sizes, label = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
+
+
+def test_frequent_tokens_are_those_with_high_counts(spark, monkeypatch):
+    """The list is bounded also where most counts are equal; no token left out is counted more often than one in it."""
+    rows = docs(spark, [f"a b c d e {i % 3} x{i} y{i} z{i} u{i} v{i}" for i in range(60)])
+    every = jaccard._frequent_tokens(rows)
+    assert len(every) == len(set(every)) >= 4 and (np.diff(every) > 0).all() and every.dtype == np.int32
+    for many in (10, 10_000):
+        monkeypatch.setattr(jaccard, "MANY", many)
+        monkeypatch.setattr(jaccard, "FREQUENT", 1)
+        assert set(jaccard._frequent_tokens(rows)) <= set(every)
