@@ -22,6 +22,7 @@ n - ceil(t n) + 1 tokens) share one.
 * A pair must also share a prefix token under orders 2 and 3 (other hash
   orders); only pairs that pass all filters are verified on their whole sets.
 
+Postings travel as one row a part, a part being a stretch of tokens and a salt.
 Lists of frequent tokens are split by a salt: in the first round with a pivot for
 each part and a pivot of pivots, later with the pivots copied to every part.  Codes are 64-bit hashes of whole shingles; classes are told
 apart by a 64-bit code, checked by a second one (a clash raises).
@@ -61,8 +62,13 @@ SALTS = 16
 #: counts from here on are one when the most frequent tokens are looked for
 MANY = 10_000
 #: bits of a token in a list, fewer than a hash has, so that lists take less room; tokens that
-#: fall together only bring candidates
-TOKEN_BITS = 40
+#: fall together only bring candidates; the first ones name the part that a token is sent to,
+#: the others (32 at most) travel with each posting
+TOKEN_BITS, PART_BITS = 44, 12
+#: postings that a task gathers before it sends them by part
+GATHERED = 1 << 18
+#: places from here on are one: a smaller place only brings candidates
+FAR_PLACE = 32_767
 #: how many times more pivots a list gets in each further round
 MORE = 64
 
@@ -144,37 +150,75 @@ def _frequent_tokens(rows: DataFrame) -> np.ndarray:
     return np.sort(counts.where(take).select("token").toArrow().column("token").to_numpy().astype(np.int32))
 
 
+class _ByPart:
+    """Gathers the postings of a task up to GATHERED and gives them back as one row a part, which takes less room than a row a posting."""
+
+    def __init__(self, often: np.ndarray):
+        self.often = often
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def __call__(self, batch: pa.RecordBatch):
+        for _, _, f in _slices(batch):
+            self.parts.append(self.prefixes(f))
+            self.size += len(self.parts[-1][0])
+            if self.size >= GATHERED:
+                yield from self.finish()
+
+    def prefixes(self, f: Flat) -> tuple[np.ndarray, ...]:
+        key = f.keys(5)
+        once = np.zeros(len(key), bool)
+        once[np.unique(key, return_index=True)[1]] = True
+        last = np.zeros(len(f.code), bool)
+        if len(self.often):
+            short = _short(f.code)
+            last = self.often[np.minimum(np.searchsorted(self.often, short), len(self.often) - 1)] == short
+        behind = np.cumsum(last) - last  # frequent tokens before, over all sets
+        behind = behind - behind[np.minimum(f.first, max(len(behind) - 1, 0))][f.of] if len(behind) else behind
+        own = f.size - f.sums(last.astype(np.int64))
+        place = np.where(last, own[f.of] + behind, f.rank - behind)
+        chosen = (place < prefix_length(f.size)[f.of]) & once[f.of]
+        of = f.of[chosen]
+        salt = np.where(last[chosen], 1 + key[of] % SALTS, 0)
+        token = f.code[chosen] >> np.uint64(64 - TOKEN_BITS)
+        part = (token >> np.uint64(TOKEN_BITS - PART_BITS)).astype(np.int32) * (SALTS + 1) + salt
+        tail = (token & np.uint64((1 << (TOKEN_BITS - PART_BITS)) - 1)).astype(np.uint32).view(np.int32)
+        return part.astype(np.int32), tail, np.minimum(place[chosen], FAR_PLACE).astype(np.int16), key[of]
+
+    def finish(self):
+        if self.size:
+            part, *columns = (np.concatenate(c) for c in zip(*self.parts))
+            self.parts, self.size = [], 0
+            order = np.argsort(part, kind="stable")
+            of, first = np.unique(part[order], return_index=True)
+            ends = pa.array(np.append(first, len(part)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *lists], names=["part", "tail", "pos", "key"])
+
+
 def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, place, key) of the prefixes under order 1, once for each class and slice: ``place`` holds pos and, in its last bits, salt."""
+    """(part, tail, pos, key) of the prefixes under order 1, once for each class and slice, dealt by part.
+
+    ``part`` holds the first bits of the token and the salt, ``tail`` the token's other bits.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
-    spare = np.uint64(64 - TOKEN_BITS)
-
-    def make():
-        often = shared.value
-
-        def step(batch: pa.RecordBatch):
-            for _, _, f in _slices(batch):
-                key = f.keys(5)
-                once = np.zeros(len(key), bool)
-                once[np.unique(key, return_index=True)[1]] = True
-                last = np.zeros(len(f.code), bool)
-                if len(often):
-                    short = _short(f.code)
-                    last = often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short
-                behind = np.cumsum(last) - last  # frequent tokens before, over all sets
-                behind = behind - behind[np.minimum(f.first, max(len(behind) - 1, 0))][f.of] if len(behind) else behind
-                own = f.size - f.sums(last.astype(np.int64))
-                place = np.where(last, own[f.of] + behind, f.rank - behind)
-                chosen = (place < prefix_length(f.size)[f.of]) & once[f.of]
-                of = f.of[chosen]
-                salt = np.where(last[chosen], 1 + key[of] % SALTS, 0)
-                token = f.code[chosen] >> spare
-                yield pa.RecordBatch.from_arrays(
-                    [_long(token.view(np.int64)), _long(place[chosen] * (2 * SALTS) + salt), _long(key[of])], names=["token", "place", "key"])
-
-        return step
-
-    return map_batches(rows, make, "token long, place long, key long")
+    sent = map_batches(rows, lambda: _ByPart(shared.value), "part int, tail array<int>, pos array<smallint>, key array<bigint>")
+    return sent.repartition("part").select("part", F.inline(F.arrays_zip("tail", "pos", "key")))
+
+
+def _lists(posts: DataFrame) -> DataFrame:
+    """(token, salt, key, pos) of tokens that stand in several classes; lists that are split by a salt are all kept.
+
+    Everything is grouped by ``part`` first, so the postings are shuffled once.
+    """
+    salt = F.pmod("part", F.lit(SALTS + 1))
+    one = W.partitionBy("part", "tail")
+    ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)}).where((F.col("low") < F.col("high")) | (salt > 0))
+    # of tokens of one set that fall together the first place is kept
+    lists = ends.groupBy("part", "tail", "key").agg(F.min("pos").cast("long").alias("pos"))
+    head = F.shiftleft(F.floor(F.col("part") / (SALTS + 1)).cast("long"), TOKEN_BITS - PART_BITS)
+    tail = F.col("tail").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    return lists.select((head + tail).alias("token"), salt.cast("int").alias("salt"), "key", "pos")
 
 
 def _candidate_sets(rows: DataFrame, wanted: DataFrame) -> str:
@@ -252,15 +296,19 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def _mixed(state: DataFrame, comps: DataFrame, done: int) -> DataFrame:
+    """The lists of ``state`` that now hold several components and are longer than ``done``, with their length (all).
+
+    Components only grow, so a list that goes here is done for good and later rounds need not read it.
+    """
+    now = state.select("token", "salt", "key", "n", "pos").join(comps.withColumnRenamed("node", "key"), "key")
+    of = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("all"))
+    return now.join(of.where((F.col("low") < F.col("high")) & (F.col("all") > done)).select("token", "all"), "token")
+
+
 def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): enough links of classes that their components are those of all links."""
-    posts = _postings(rows, _frequent_tokens(rows))
-    salt = F.pmod("place", F.lit(2 * SALTS))
-    one = W.partitionBy("token", salt)
-    ends = posts.withColumns({"low": F.min("key").over(one), "high": F.max("key").over(one)}).withColumn("salt", salt.cast("int"))
-    # of tokens of one set that fall together the first place is kept
-    lists = ends.where("low < high or salt > 0").groupBy("token", "salt", "key").agg(
-        F.shiftright(F.min("place"), (2 * SALTS).bit_length() - 1).alias("pos"))
+    lists = _lists(_postings(rows, _frequent_tokens(rows)))
     # rows that can have no similar partner in their list, by sizes and places, go
     lists = stored(lists).join(classes.select("key", "n"), "key")
     all_of = W.partitionBy("token")
@@ -279,14 +327,9 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     sets = rows.sparkSession.table(name)
     comps = wanted.select(F.col("key").alias("node"), F.col("key").alias("comp"))
     links = tried = None
-    pivots, done = 1, 1  # pivots of a list in this round, and the length up to which lists have been compared in full
-    while True:
-        state = lists.join(comps.withColumnRenamed("node", "key"), "key")
-        spread = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where((F.col("k") > 1) & (F.col("all") > done))
-        state = stored(state.join(mixed.select("token", "all"), "token"))
-        if state.isEmpty():
-            break
+    pivots = 1  # pivots of a list in this round
+    state = lists.withColumn("comp", F.col("key"))
+    while not state.isEmpty():
         row = F.struct("key", "n", "pos", "comp")
         if pivots == 1:
             # the class with the fewest rare tokens before the shared one stands nearest to the others of its list
@@ -297,7 +340,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
             top = heads.groupBy("token").agg(F.min("p").alias("q")).select("token", F.col("q.v").alias("y"))
             high = heads.where("salt > 0").select("token", F.col("p.v").alias("x")).join(top, "token").where("x.comp <> y.comp")
             pairs = _pairs(far.where(_alike("x", "y"))).unionByName(_pairs(high.where(_alike("x", "y"))))
-            done = 2
+            done = 2  # lists up to this length have been compared in full
         else:
             # a class that is drawn is a pivot in all its lists that are long enough for the draw
             draw = F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(1 << 30))
@@ -318,6 +361,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         comps = wanted.select(F.col("key").alias("node")).join(connected_components(links), "node", "left")
         comps = stored(comps.select("node", F.coalesce("comp", "node").alias("comp")))
         pivots *= MORE
+        state = stored(_mixed(state, comps, done))
     comps = stored(comps)
     rows.sparkSession.sql(f"DROP TABLE {name}")
     return comps

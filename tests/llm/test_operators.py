@@ -358,6 +358,43 @@ def test_jaccard_with_tokens_that_fall_together(spark, texts, monkeypatch):
     assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
 
 
+def test_jaccard_with_postings_sent_in_small_parts(spark, texts, monkeypatch):
+    """Few postings a row, and places that are cut early, change the candidates only."""
+    monkeypatch.setattr(jaccard, "GATHERED", 40)
+    monkeypatch.setattr(jaccard, "FAR_PLACE", 3)
+    sizes, label = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
+
+
+def test_postings_are_shuffled_once_in_rows_of_many(spark):
+    """Before, every posting was a row of its own and went through a second shuffle."""
+    texts = [" ".join(f"w{i % 20}x{k}" for k in range(100)) for i in range(40)] + [" ".join(f"b{k}" for k in range(60)) + f" a{i}" for i in range(30)]
+    rows = docs(spark, texts)
+    frequent = jaccard._frequent_tokens(rows)
+    posts = jaccard._postings(rows, frequent)
+    lists = jaccard._lists(posts)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(")  # a row is a part while it travels
+    got = Counter((r.token, r.salt, r.key) for r in lists.collect())
+    assert set(got.values()) == {1}
+    some = {r.key for r in posts.select("key").distinct().collect()}
+    assert len(some) == 50 and all(k in some for _, _, k in got)
+    # the tokens that all the last texts share are frequent: their lists are split by salts and hold every text
+    held = Counter(t for t, salt, _ in got if salt)
+    assert held and max(held.values()) == 30
+
+
+def test_lists_that_are_done_are_not_read_again(spark):
+    """A list whose classes are in one component, or that was compared in full, leaves the rounds."""
+    rows = [(t, 0, k, 10, 0, k) for t, keys in ((1, (1, 2, 3)), (2, (4, 5, 6)), (3, (7, 8))) for k in keys]
+    state = spark.createDataFrame(rows, "token long, salt int, key long, n long, pos long, comp long")
+    comps = spark.createDataFrame([(k, 1 if k < 4 else min(k, 5)) for k in range(1, 7)] + [(7, 7), (8, 8)], "node long, comp long")
+    left = jaccard._mixed(state, comps, 2)
+    assert sorted((r.token, r.key, r.comp, r["all"]) for r in left.collect()) == [(2, 4, 4, 3), (2, 5, 5, 3), (2, 6, 5, 3)]
+
+
 def test_frequent_tokens_are_those_with_high_counts(spark, monkeypatch):
     """The list is bounded also where most counts are equal; no token left out is counted more often than one in it."""
     rows = docs(spark, [f"a b c d e {i % 3} x{i} y{i} z{i} u{i} v{i}" for i in range(60)])
