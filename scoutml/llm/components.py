@@ -59,12 +59,16 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``links`` (a, b), which is a written table.
 
-    Every task first contracts the links it reads, without a shuffle; star
-    contractions over all links follow, each written to the shared folder, until
-    all components are stars.
+    Every task first contracts the links it reads, without a shuffle.  Up to PART
+    links that are left are contracted by one more task, as many as any task takes;
+    of more, star contractions over all links follow, each written to the shared
+    folder, until all components are stars or the links left are as few.
     """
     edges = _contracted(links.select("a", "b").where("a <> b"))
     while True:
+        if edges.count() <= PART:
+            edges = _contracted(edges.coalesce(1))
+            break
         uses = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(
             edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
         uses = uses.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))

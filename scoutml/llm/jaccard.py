@@ -362,7 +362,6 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         comps = stored(comps.select("node", F.coalesce("comp", "node").alias("comp")))
         pivots *= MORE
         state = stored(_mixed(state, comps, done))
-    comps = stored(comps)
     rows.sparkSession.sql(f"DROP TABLE {name}")
     return comps
 

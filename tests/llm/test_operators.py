@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from scoutml.llm import chunk_bpe, jaccard, langid, packing, quality, secrets, sharding, topk, toxicity, url_filter
+from scoutml.llm import chunk_bpe, components, jaccard, langid, packing, quality, secrets, sharding, topk, toxicity, url_filter
 from scoutml.llm.common import load_tokenizer
 from scoutml.llm.components import connected_components
 from scoutml.llm.words_bpe import VOCABULARY, WordEncoder
@@ -149,6 +149,28 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_few_links_take_few_jobs(spark, tmp_path):
+    spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long").repartition(16).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links")
+    sc = spark.sparkContext
+    sc.setJobGroup("components of a path", "")
+    try:
+        got = {r.node: r.comp for r in connected_components(links).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(401)}
+    assert len(sc.statusTracker().getJobIdsForGroup("components of a path")) <= 8
+
+
+def test_components_of_more_links_than_one_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(components, "PART", 3)
+    links = [(i, i + 1) for i in range(30)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(7, 7), (200, 201)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(9)}, 200: 200, 201: 200}
+    none = connected_components(spark.createDataFrame([(7, 7)], "a long, b long"))
+    assert none.count() == 0
+
+
 def test_secrets(spark):
     hexa = hashlib.sha1(b"a").hexdigest()
     rows = [None, "", f"Token: '{hexa}' é password=short API_KEY=longenough1", "AKIAABCDEFGHIJKL2 AKIA123",
